@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinflow.functions.session import table
-from skeinflow.llm import bisect, encoding, mixing
+from skeinflow.llm import bisect, encoding, mixing, neighbours
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -17,6 +17,24 @@ def query(f):
     return f
 
 
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.similar_pairs(neighbours.nearest(table(spark, d, "chunks"), least=0.9), 0.9)
+
+
+@query
+def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.nearest(table(spark, d, "chunks"))
+
+
+ORACLE["p2_found"] = """
+WITH v AS (SELECT id, any_value(embedding)::DOUBLE[] AS e FROM chunks WHERE embedding IS NOT NULL AND len(embedding) = 64 GROUP BY id),
+     w AS (SELECT id, e FROM v WHERE list_sum(list_transform(e, lambda x: x * x)) > 0),
+     s AS (SELECT a.id AS x, b.id AS y, list_cosine_similarity(a.e, b.e) AS c FROM w a, w b WHERE a.id <> b.id),
+     r AS (SELECT x, y, c, row_number() OVER (PARTITION BY x ORDER BY c DESC, y) AS n FROM s WHERE c >= 0.9)
+SELECT DISTINCT least(x, y) AS chunk_a, greatest(x, y) AS chunk_b FROM r WHERE n <= 10"""
+
+
 @query
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return bisect.split_oversized(table(spark, d, "chunks"), table(spark, d, "chunk_options")).select("chunk_id").distinct()
