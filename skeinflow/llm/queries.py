@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinflow.functions.session import table
-from skeinflow.llm import bisect, encoding, mixing, neighbours
+from skeinflow.llm import bisect, encoding, mixing, neighbours, provenance
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -68,3 +68,13 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p7_selection(spark: SparkSession, d: str) -> DataFrame:
     return mixing.select_mix(mixing.sized(table(spark, d, "documents")), table(spark, d, "mix_targets")).select("mix_id", "source", "doc_id", "tokens", "repeats")
+
+
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_labels(spark, d).filter(F.col("label") != "handwritten").select("file_id")
+
+
+@query
+def p4_labels(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.label_files(table(spark, d, "files"), table(spark, d, "chunks"))
