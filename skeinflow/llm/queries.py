@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinflow.functions.session import table
-from skeinflow.llm import bisect, encoding, mixing, neighbours, provenance
+from skeinflow.llm import bisect, encoding, mixing, neighbours, packing, provenance
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -78,3 +78,23 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p4_labels(spark: SparkSession, d: str) -> DataFrame:
     return provenance.label_files(table(spark, d, "files"), table(spark, d, "chunks"))
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return packing.divided(p5_packing(spark, d))
+
+
+@query
+def p5_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "chunks"), table(spark, d, "pack_jobs"))
+
+
+@query
+def p5_selections(spark: SparkSession, d: str) -> DataFrame:
+    return packing.selections(p5_packing(spark, d))
+
+
+ORACLE["p5_found"] = """
+WITH c AS (SELECT id, any_value(source_id) AS source_id, max(CASE WHEN tokens >= 1 THEN tokens ELSE ceil(length(content) / 4.0) END) AS t FROM chunks GROUP BY id)
+SELECT DISTINCT j.job_id, c.id AS chunk_id FROM pack_jobs j JOIN c ON c.source_id = j.source_id WHERE c.t > j.budget"""
