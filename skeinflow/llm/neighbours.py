@@ -9,7 +9,7 @@ row are merged over the block pairs, and classes are expanded to ids at the end,
 No pair of blocks is left out, so recall is 1 up to rounding; work grows with the square of the number of distinct vectors, in tiles that run
 at the speed of a matrix product. ``least`` only lets a caller ask for no neighbours below it.
 
-Cases: null, zero and non-finite vectors and those of another length take no part; a null id takes no part; ids delivered twice count once (of differing vectors the least is
+Cases: null, zero and non-finite vectors and those of another length take no part; a null id takes no part; ids delivered twice count once (of differing vectors one is
 taken); ties among copies go to the smaller id; classes of any number of copies yield k neighbours a row; empty tables give no rows; extra columns are ignored.
 """
 
@@ -19,29 +19,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinflow.functions.session import cut
+from skeinflow.functions.session import cut, small, written
 
 K, DIM = 10, 64
 #: Rows of a block, and of a tile within a pair of blocks.
 BLOCK_ROWS, TILE_ROWS, TILE_COLUMNS = 32_768, 512, 2_048
 
 
-def usable(rows: DataFrame, dim: int = DIM) -> DataFrame:
-    """(id, embedding) of each distinct id with a usable vector."""
+def keyed(rows: DataFrame, dim: int = DIM) -> DataFrame:
+    """(id, key, embedding) of each row with a usable vector; equal keys mean the same direction to six decimals."""
     e = F.col("embedding")
     fine = F.col("id").isNotNull() & (F.size(e) == dim) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
-    return rows.select("id", "embedding").filter(fine).groupBy("id").agg(F.min("embedding").alias("embedding"))
-
-
-def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(one row per distinct vector: key, vector; membership: id, key)."""
-    squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    unit = F.transform("embedding", lambda x: F.round(x / F.col("norm"), 6) + F.lit(0.0))
-    keyed = vectors.withColumn("norm", F.sqrt(squares)).select("id", F.md5(F.concat_ws(",", unit.cast("array<string>"))).alias("key"), "embedding")
-    return keyed.groupBy("key").agg(F.min("embedding").alias("embedding")), keyed.select("id", "key")
+    squares = F.aggregate(e, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    steps = F.transform(e, lambda x: F.round(x / F.col("norm") * 1e6).cast("int"))
+    key = F.concat_ws("-", F.hex(F.xxhash64(F.lit(1), "steps")), F.hex(F.xxhash64(F.lit(2), "steps")))
+    return rows.select("id", "embedding").filter(fine).withColumn("norm", F.sqrt(squares)).withColumn("steps", steps).select("id", key.alias("key"), "embedding")
 
 
 def _unit(flat: np.ndarray, dim: int) -> np.ndarray:
@@ -155,34 +152,42 @@ def _emit(heaps: Heaps, block: int, other: int, k: int) -> pa.RecordBatch:
 def block_join(distinct: DataFrame, rows: int, k: int = K, least: float = -2.0, dim: int = DIM, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
     """((key, place) of each vector, (a, b, similarity) of the k best places for each place).
 
-    ``rows`` bounds the number of vectors. A place is block * 2^32 + position.
+    ``rows`` bounds the number of vectors. A place is block * 2^32 + position. Blocks are written once to the shared folder, where the task of a
+    pair of blocks reads its two, so the vectors aren't shuffled once for every pair.
     """
+    spark = distinct.sparkSession
     n = max(1, -(-rows // block_rows))
     blocked = distinct.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(n)).cast("int"))
 
     def pack(table: pa.Table) -> pa.Table:
-        order = table.column("key").combine_chunks()
         flat = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False)
         x = _unit(flat, dim)
-        return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "keys": pa.array([order.to_pylist()], pa.list_(pa.string())), "data": pa.array([x.tobytes()], pa.binary())})
+        return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "keys": pa.array([table.column("key").to_pylist()], pa.list_(pa.string())), "data": pa.array([x.tobytes()], pa.binary())})
 
-    packed = cut(blocked.groupBy("block").applyInArrow(pack, "block int, keys array<string>, data binary"))
+    schema = "block int, keys array<string>, data binary"
+    path = written(blocked.groupBy("block").applyInArrow(pack, schema), "block")
+    packed = spark.read.schema(schema).parquet(path)
     places = packed.select(F.col("block"), F.posexplode("keys").alias("at", "key")).select("key", (F.shiftleft(F.col("block").cast("long"), 32) + F.col("at")).alias("place"))
-    others = F.sequence(F.lit(0), F.lit(n - 1))
-    pairs = packed.select("block", "data", F.explode(others).alias("with")).select(F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"), "block", "data")
-
-    def tiles(table: pa.Table) -> pa.Table:
-        blocks = {b.as_py(): np.frombuffer(d.as_py(), np.float32).reshape(-1, dim) for b, d in zip(table.column("block"), table.column("data"))}
-        p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
-        if p not in blocks or q not in blocks:
-            return schema.empty_table()
-        left, right = join_blocks(blocks[p], None if p == q else blocks[q], k, least)
-        out = [_emit(left, p, q, k)] + ([] if p == q else [_emit(right, q, p, k)])
-        return pa.Table.from_batches(out)
+    pairs = spark.range(n * n).select((F.col("id") / n).cast("int").alias("p"), (F.col("id") % n).cast("int").alias("q")).filter("p <= q").repartition(n * (n + 1) // 2, "p", "q")
+
+    def block(i: int) -> np.ndarray | None:
+        files, folder = fs.FileSystem.from_uri(f"{path}/block={i}")
+        if files.get_file_info(folder).type == fs.FileType.NotFound:
+            return None
+        return np.frombuffer(pq.read_table(folder, columns=["data"], filesystem=files, partitioning=None).column("data")[0].as_py(), np.float32).reshape(-1, dim)
+
+    def tiles(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for p, q in zip(part.column("p").to_pylist(), part.column("q").to_pylist()):
+                a, b = block(p), None if p == q else block(q)
+                if a is None or (b is None and p != q):
+                    continue
+                left, right = join_blocks(a, b, k, least)
+                yield _emit(left, p, q, k)
+                if p != q:
+                    yield _emit(right, q, p, k)
 
-    found = pairs.repartition(n * (n + 1) // 2, "p", "q").groupBy("p", "q").applyInArrow(tiles, "a long, b long, similarity double")
-    return places, found
+    return places, pairs.mapInArrow(tiles, "a long, b long, similarity double")
 
 
 def merge(found: DataFrame, k: int = K) -> DataFrame:
@@ -193,10 +198,12 @@ def merge(found: DataFrame, k: int = K) -> DataFrame:
 
 def nearest(rows: DataFrame, k: int = K, least: float = -2.0, dim: int = DIM, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(chunk_id, neighbour_id, similarity, rank): the k best others of similarity at least ``least`` of every id."""
-    vectors = usable(rows, dim)
-    distinct, members = classes(vectors)
-    distinct, members = cut(distinct), cut(members)
-    places, found = block_join(distinct, max(1, distinct.count()), k, least, dim, block_rows)
+    vectors = keyed(rows, dim)
+    ids = cut(vectors.groupBy("id").agg(F.min("key").alias("key"), F.max("key").alias("last")))
+    members, differing = ids.select("id", "key"), ids.filter("key <> last").select("id", F.col("key").alias("kept"))
+    vectors = vectors.join(small(differing), "id", "left").filter(F.col("kept").isNull() | (F.col("kept") == F.col("key")))
+    distinct = vectors.groupBy("key").agg(F.min("embedding").alias("embedding"))
+    places, found = block_join(distinct, members.count(), k, least, dim, block_rows)
     # in each class the k + 1 least ids are enough, for any member and from any other class
     first = Window.partitionBy("key").orderBy("id")
     heads = members.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k + 1).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
