@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinflow.functions.session import table
-from skeinflow.llm import bisect, encoding, mixing, neighbours, packing, provenance
+from skeinflow.llm import bisect, encoding, mixing, neighbours, packing, provenance, secrets
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -17,6 +17,16 @@ def query(f):
     return f
 
 
+@query
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.credential_lines(table(spark, d, "chunks"))
+
+
+@query
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.redact(table(spark, d, "chunks"))
+
+
 @query
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.similar_pairs(neighbours.nearest(table(spark, d, "chunks"), least=0.9), 0.9)
