@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinflow.functions.session import table
-from skeinflow.llm import bisect, encoding, mixing, neighbours, packing, provenance, secrets
+from skeinflow.llm import bisection, credentials, encoding, mixing, neighbours, packing, provenance, subjects
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -19,12 +19,12 @@ def query(f):
 
 @query
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return secrets.credential_lines(table(spark, d, "chunks"))
+    return credentials.credential_lines(table(spark, d, "chunks"))
 
 
 @query
 def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return secrets.redact(table(spark, d, "chunks"))
+    return credentials.redact(table(spark, d, "chunks"))
 
 
 @query
@@ -47,12 +47,12 @@ SELECT DISTINCT least(x, y) AS chunk_a, greatest(x, y) AS chunk_b FROM r WHERE n
 
 @query
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return bisect.split_oversized(table(spark, d, "chunks"), table(spark, d, "chunk_options")).select("chunk_id").distinct()
+    return bisection.split_oversized(table(spark, d, "chunks"), table(spark, d, "chunk_options")).select("chunk_id").distinct()
 
 
 @query
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return bisect.split_oversized(table(spark, d, "chunks"), table(spark, d, "chunk_options"))
+    return bisection.split_oversized(table(spark, d, "chunks"), table(spark, d, "chunk_options"))
 
 
 ORACLE["p3_found"] = """
@@ -108,3 +108,18 @@ def p5_selections(spark: SparkSession, d: str) -> DataFrame:
 ORACLE["p5_found"] = """
 WITH c AS (SELECT id, any_value(source_id) AS source_id, max(CASE WHEN tokens >= 1 THEN tokens ELSE ceil(length(content) / 4.0) END) AS t FROM chunks GROUP BY id)
 SELECT DISTINCT j.job_id, c.id AS chunk_id FROM pack_jobs j JOIN c ON c.source_id = j.source_id WHERE c.t > j.budget"""
+
+
+@query
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subject_areas(p8_subjects(spark, d))
+
+
+@query
+def p8_subjects(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.label_documents(table(spark, d, "documents"), table(spark, d, "subjects"), table(spark, d, "subject_labels"))
+
+
+@query
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.composition(p8_found(spark, d), table(spark, d, "documents"))

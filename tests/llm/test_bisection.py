@@ -1,7 +1,7 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from skeinflow.llm import bisect as B
+from skeinflow.llm import bisection as B
 
 OPTIONS = "source_id string, chunk_size int, chunk_overlap int, max_unit_tokens int, use_ast boolean"
 
