@@ -1,0 +1,65 @@
+"""Words that a subject area is known by in several languages, to begin the lexicon with; plain general vocabulary, replaced by what the corpus shows."""
+
+SEEDS = {
+    "software": """
+        programming compiler debugger parser linker bytecode runtime toolchain refactor codebase backend frontend middleware mutex deadlock regex stdout async linux kubernetes docker
+        compilador depurador dependencias contenedores pruebas unitarias servidor hilos empaquetado ramas
+        compilateur débogueur dépendances conteneurs serveur paquets requêtes
+        übersetzer abhängigkeiten speicherlecks nebenläufigkeit schnittstellen typprüfung protokolldateien paketverwaltung schleife
+        парсер сборка линтер зависимостей модульные кэш компилятор сервер
+        编译器 解析器 依赖图 单元测试 容器 缓存键 パーサー ビルド 依存関係 キャッシュ テスト ログ""",
+    "science": """
+        laboratory experiment hypothesis molecule bacteria enzyme protein isotope telescope spectrometer microscope kelvin physics chemistry biology genome neutron reagent seismic electrodes
+        laboratorio experimento hipótesis reactivos proteínas enzimas telescopios espectros muestra láser kelvin
+        laboratoire expérience hypothèses réactifs protéines enzymes télescopes spectres échantillon kelvins cultures cellulaires
+        labor experiment hypothesen reagenzien proteine enzyme teleskope spektren messreihen zellkulturen wellenlängen probe kelvin
+        лаборатория эксперимент гипотеза белок телескоп 实验室 实验 蛋白质 望远镜 実験 仮説 タンパク質""",
+    "law": """
+        lawyer attorney plaintiff defendant tribunal verdict statute affidavit injunction subpoena litigation magistrate prosecution paralegal notary bailiff deposition lawsuit signatories heir damages
+        abogados juez magistrado tribunales demandas sentencias testigos fianzas apelaciones cláusulas poderes notariales expedientes judiciales
+        avocats juge magistrat tribunaux plaintes jugements témoins cautions appels clauses procurations requête
+        anwälte richter gericht klageschriften urteile zeugenaussagen vertragsklauseln berufungen gerichtsakten vollmachten mandanten vertagung
+        суд адвокат истец ответчик приговор 法院 律师 原告 合同 裁判所 弁護士 原告""",
+    "sport": """
+        goalkeeper referee striker championship tournament marathon cyclist penalty stadium athlete league coach semifinal sprint swimmers podium scoreboard
+        árbitros porteros torneos estadios equipos entrenamientos penaltis partidos carreras relevos clasificación corredora descanso
+        arbitres gardiens tournois stades équipes entraînements matchs classements relais coureuse mi-temps
+        schiedsrichter torhüter turniere stadien mannschaften trainingslager elfmeter staffelläufe spielpläne tabellenplätze läufer halbzeit
+        матч тренер вратарь чемпионат 比赛 球队 教练 裁判 試合 選手 監督""",
+    "health": """
+        patient doctor nurse surgeon hospital diagnosis prescription vaccination anesthesia physiotherapy pharmacy symptom allergy biopsy insulin ambulance painkillers wristband temperature chronic pain
+        médico enfermeras hospital diagnósticos recetas vacunas alergias radiografías presión arterial historias clínicas dosis camas fiebre operación calmante
+        médecin infirmières hôpital diagnostics ordonnances vaccins allergies radiographies tension artérielle dossiers médicaux doses lits fièvre opération calmant
+        arzt krankenschwestern krankenhaus diagnosen rezepte impfungen allergien röntgenbilder blutdruckwerte patientenakten dosierungen stationsbetten pflegeschichten fieber schmerzmittel
+        врач пациент больница диагноз 医生 患者 医院 诊断 医師 病院 診断""",
+    "finance": """
+        accounting invoice dividend mortgage portfolio payroll ledger overdraft chargeback lender collateral shareholders bookkeeper inflation earnings payout broker escrow accrual
+        banco facturas dividendos hipotecas carteras nóminas préstamos divisas impuestos balances asientos contables transferencias bancarias intereses recibo garantías
+        banque factures dividendes hypothèques portefeuilles prêts devises impôts bilans écritures comptables virements échéance garanties
+        bank rechnungen dividenden kredite depots überweisungen bilanzen buchungen zinssätze wechselkurse steuererklärungen mahnung sicherheiten
+        банк счёт кредит налог дивиденды 银行 发票 贷款 股息 銀行 請求書 融資""",
+    "education": """
+        school teacher pupils classroom curriculum homework scholarship semester seminar thesis exam tutor kindergarten faculty dissertation professors headmaster learners worksheet enrolment graduation
+        escuela maestra alumnos aulas deberes becas exámenes calificaciones profesores tutorías horarios planes estudio boletines notas matrículas
+        école maîtresse élèves salles classe devoirs bourses examens bulletins enseignants tutorat emplois temps programmes scolaires notes
+        schule lehrer schüler klassenzimmer hausaufgaben stipendien prüfungen prüfungsnoten zeugnisse lehrkräfte lehrpläne stundenpläne nachhilfe semester vorlesungen noten
+        школа учитель ученик экзамен 学校 老师 学生 考试 教師 生徒 試験""",
+    "arts": """
+        music theatre painting museum orchestra opera sculpture exhibition melody soprano choir libretto ballet actor canvas frescoes subtitles poet playlists watercolour choreograph
+        museos orquesta coros esculturas cuadros exposiciones poemas guiones partituras escenografía ensayos directora director escena soprano
+        musées orchestre chœurs sculptures tableaux expositions poèmes scénarios partitions décors répétitions metteur scène soprano
+        museen orchesterproben chöre skulpturen gemälde ausstellungen gedichte drehbücher partituren bühnenbilder regisseur szene sängerin
+        музей театр картина оркестр 博物馆 音乐 绘画 剧院 美術館 音楽 絵画""",
+    "transport": """
+        traffic railway ferry freight cargo passenger runway harbour commuters lorries luggage boarding truck tram detour bridges suitcase couriers cabin tug flight vehicle
+        tráfico tren camiones autobús paradas andenes semáforos equipaje carga transbordadores pistas aterrizaje vías conductores puente
+        circulation train camions lignes bus arrêts quais feux bagages fret ferries pistes atterrissage aiguillages voie poids lourds
+        verkehr zug lastwagen buslinien haltestellen bahnsteige ampeln gepäckbänder frachtbriefe fähren landebahnen weichen gleis umgehung lkw
+        поезд автобус груз аэропорт 火车 公交 货运 机场 電車 バス 貨物""",
+    "agriculture": """
+        farming livestock tractor harvest fertilizer irrigation pasture orchard vineyard beehive manure plough greenhouse lambs calves barley lettuce olives hectares plums threshing vet
+        cosechas tractores riego abonos pastos huertos establos semillas trigales humedad suelo corderos granizo ciruelas
+        récoltes tracteurs irrigation engrais pâturages vergers étables semences champs blé humidité sol agneaux grêle prunes
+        ernteerträge traktoren bewässerung dünger weiden obstgärten kuhställe saatgut weizenfelder bodenfeuchte lämmer hagel pflaumen
+        урожай трактор ферма пшеница 农场 拖拉机 收成 灌溉 農場 収穫 肥料""",
+}
