@@ -73,11 +73,11 @@ def units(text: str | None, code: bool) -> tuple[list[list[str]], list[list[str]
             if w := words(s):
                 body.append(w)
             continue
-        head = s.startswith("#") and not code or (s.startswith("**") and s.endswith("**")) or (n == 0 and not code)
-        for part in _END.split(_LEAD.sub("", s)):
+        head = s.startswith("#") and not code or (s.startswith("**") and s.endswith("**"))
+        for k, part in enumerate(_END.split(_LEAD.sub("", s))):
             if w := words(part):
                 body.append(w)
-                if head:
+                if head or (n == k == 0 and not code):
                     heads.append(w)
     return body, heads
 
