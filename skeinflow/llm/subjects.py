@@ -238,12 +238,14 @@ def label_documents(docs: DataFrame, subjects: DataFrame, labels: DataFrame) ->
     """(doc_id, subject, probability, share) of each document and each subject it may deal with."""
     spark = docs.sparkSession
     names = [r.subject for r in subjects.select("subject").filter("subject is not null").distinct().orderBy("subject").limit(1000).collect()]
+    schema = "doc_id long, subject string, probability double, share double"
+    if not names:
+        return spark.createDataFrame([], schema)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text", "doc_kind", "file_path").filter("doc_id is not null and text is not null")
     lexicon = learn_lexicon(base, subjects, labels, names)
     found = cut(votes(features(base, lexicon, len(names))))
     columns = [f"v{i}" for i in range(len(FUNCTIONS))]
     counted = [(tuple(r[:-1]), r[-1]) for r in found.groupBy(*columns).count().collect()]  # at most 3^6 rows
-    schema = "doc_id long, subject string, probability double, share double"
     if not counted:
         return spark.createDataFrame([], schema)
     prior, rates = learn_accuracies(counted)
