@@ -36,4 +36,4 @@ def sliding_limit(events: DataFrame, limit: int, seconds: int = 60) -> DataFrame
 def against_limits(usage: DataFrame, limits: DataFrame, key: str) -> DataFrame:
     """``usage`` (.., key, used) against ``limits`` (key, most), which may be any size; a null or missing limit is none."""
     joined = usage.join(limits.select(key, "most"), key, "left")
-    return joined.withColumn("within", F.col("most").isNull() | (F.col("used") < F.col("most"))).withColumn("left_over", F.greatest(F.col("most") - F.col("used"), F.lit(0)))
+    return joined.withColumn("within", F.col("most").isNull() | (F.col("used") < F.col("most"))).withColumn("left_over", F.when(F.col("most").isNotNull(), F.greatest(F.col("most") - F.col("used"), F.lit(0))))
