@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skeinflow.functions.session import cut
 from skeinflow.operators import budget as B
 from skeinflow.operators import chunking, formatting, graphs, ranking, similarity, store, symbols
 
@@ -33,10 +34,10 @@ class Engine:
         self.chunks, self.edges = chunks, edges
 
     def candidates(self, vector: list[float], limit: int = CANDIDATES, sources: list[str] | None = None) -> DataFrame:
-        """The most similar chunks with their contents, which are read for these few only."""
+        """The most similar chunks with their contents, which are read for these few only; kept, as the ranking reads them more than once."""
         found = F.broadcast(similarity.search(self.chunks, vector, limit, sources))  # at most ``limit`` rows
         columns = ["id", "source_id", "file_path", "content", "start_line", "end_line", "tokens"]
-        return self.chunks.select(*columns).join(found, "id").dropDuplicates(["id"])
+        return cut(self.chunks.select(*columns).join(found, "id").dropDuplicates(["id"]))
 
     def selected(self, query: str, vector: list[float], budget: int = 8000, policy: str = "greedy", sources: list[str] | None = None, imports: bool = True, merge: bool = True, diversity: bool = False) -> DataFrame:
         """The chunks for a query within a budget; ``policy`` prefix stops at the first that doesn't fit, without rescoring or joining."""
