@@ -60,10 +60,10 @@ def bursts(events: DataFrame, quiet: str = "1 second", lateness: str = LATENESS)
 LIMITED = "org_id string, id string, requests int, allowed boolean"
 
 
-def rate_limited(events: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
+def rate_limited(events: DataFrame, limit: int, seconds: int = 60, lateness: str = LATENESS) -> DataFrame:
     """Each request of a stream with the requests of its organisation in the last ``seconds`` and whether it is let through.
 
-    The state of an organisation is the times of that window only, and goes when nothing came for twice as long. Requests that are refused count too.
+    The state of an organisation is the times of that window only, and goes when the watermark says that nothing came for twice as long. Requests that are refused count too.
     """
     span = seconds * 1000
 
@@ -80,8 +80,9 @@ def rate_limited(events: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
             n = sum(t <= ms for t in times)
             out += [(key[0], i, n, n <= limit) for i in same.id]
         state.update((times,))
-        state.setTimeoutDuration(2 * span)
+        state.setTimeoutTimestamp(max(times[-1] + 2 * span, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["org_id", "id", "requests", "allowed"])
 
     ms = F.floor(F.unix_micros("created_at") / 1000).alias("ms")
-    return events.select("org_id", "id", ms).groupBy("org_id").applyInPandasWithState(step, LIMITED, "times array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = events.withWatermark("created_at", lateness).select("org_id", "id", "created_at", ms)
+    return rows.groupBy("org_id").applyInPandasWithState(step, LIMITED, "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)

@@ -31,9 +31,9 @@ def test_config():
     assert D.validate(D.Config([D.Source("ok", "./x")])) == ([], [])
 
 
-def _drain(query, spark, name):
-    query.processAllAvailable()
-    query.stop()
+def _drain(stream, spark, name, mode):
+    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    assert query.awaitTermination(60)
     return spark.table(name).collect()
 
 
@@ -42,9 +42,9 @@ def test_rate_limit_and_counters(spark, tmp_path):
     df = spark.createDataFrame([(i, o, 1_700_000_000_000 + t) for i, o, t in rows], "id string, org_id string, ms long").select("id", "org_id", F.timestamp_millis("ms").alias("created_at"), F.lit("Query").alias("event_type"), F.lit(5).alias("tokens_used"))
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    out = _drain(live.rate_limited(stream, 2).writeStream.format("memory").queryName("limited").outputMode("append").start(), spark, "limited")
+    out = _drain(live.rate_limited(stream, 2), spark, "limited", "append")
     assert {r.id: (r.requests, r.allowed) for r in out} == {"a": (1, True), "b": (2, True), "c": (3, False), "d": (2, True), "e": (1, True)}
-    out = _drain(live.monthly_counters(stream).writeStream.format("memory").queryName("monthly").outputMode("update").start(), spark, "monthly")
+    out = _drain(live.monthly_counters(stream), spark, "monthly", "update")
     assert {(r.org_id, r.month, r.queries, r.tokens) for r in out} == {("o", "2023-11", 4, 20), ("p", "2023-11", 1, 5)}
     assert live.bursts(stream).isStreaming and live.windowed_usage(stream).isStreaming
 
