@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinflow.functions.session import small
+#: Queries up to which every task holds them all.
+MATRIX_QUERIES = 2_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -42,11 +43,45 @@ def search(chunks: DataFrame, query: list[float], limit: int = 50, sources: list
 def search_many(chunks: DataFrame, queries: DataFrame, limit: int = 50) -> DataFrame:
     """(query_id, id, similarity, rank) for each row (query_id, vector) of a set of queries.
 
-    The queries, counted before they are broadcast, meet the chunks in one scan; per-query top-k prunes before the shuffle.
+    Up to ``MATRIX_QUERIES`` queries, which are counted first, are held by every task as a matrix: a batch of chunks is one matrix product and hands on its own best
+    of each query. More queries are joined to the chunks in the engine. A chunk delivered twice counts once.
     """
-    q = small(queries.select("query_id", "vector"), rows=2_000)
     rows = chunks.filter(F.col("embedding").isNotNull()).select("id", "embedding")
-    pairs = rows.join(q, F.size("embedding") == F.size("vector")).select("query_id", "id", cosine(F.col("embedding"), F.col("vector")).alias("similarity"))
+    some = queries.select("query_id", "vector").limit(MATRIX_QUERIES + 1).collect()
+    if len(some) <= MATRIX_QUERIES:
+        pairs = _by_matrix(rows, some, limit, queries.schema["query_id"].dataType.simpleString())
+    else:
+        pairs = rows.join(queries.select("query_id", "vector"), F.size("embedding") == F.size("vector")).select("query_id", "id", cosine(F.col("embedding"), F.col("vector")).alias("similarity"))
     distinct = pairs.groupBy("query_id", "id").agg(F.max("similarity").alias("similarity"))
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return distinct.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit)
+
+
+def _by_matrix(rows: DataFrame, queries: list, limit: int, key: str) -> DataFrame:
+    """The best of each query in each batch of chunks: as many distinct ids as asked for, and all that tie with the last."""
+    import numpy as np
+    import pandas as pd
+
+    sized: dict[int, list] = {}
+    for q in queries:
+        sized.setdefault(len(q.vector or []), []).append((q.query_id, q.vector))
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        n = np.sqrt((x * x).sum(axis=1, keepdims=True))
+        return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+
+    def run(parts):
+        for p in parts:
+            p = p.drop_duplicates("id")
+            sizes = p.embedding.map(len)
+            for size, asked in sized.items():
+                some = p[sizes == size]
+                if not size or some.empty:
+                    continue
+                s = unit(np.vstack(some.embedding.to_numpy()).astype(np.float64)) @ unit(np.array([v for _, v in asked], dtype=np.float64)).T
+                k = min(limit, len(some))
+                least = np.partition(s, len(some) - k, axis=0)[len(some) - k]
+                i, j = np.nonzero(s >= least)
+                yield pd.DataFrame({"query_id": [asked[x][0] for x in j], "id": some.id.to_numpy()[i], "similarity": s[i, j]})
+
+    return rows.mapInPandas(run, f"query_id {key}, id string, similarity double")
