@@ -156,6 +156,7 @@ def block_join(distinct: DataFrame, rows: int, k: int = K, least: float = -2.0,
     pair of blocks reads its two, so the vectors aren't shuffled once for every pair.
     """
     spark = distinct.sparkSession
+    block_rows = min(block_rows, max(2_048, -(-rows // 6)))  # a small collection is cut into a few blocks too, so that all cores have pairs
     n = max(1, -(-rows // block_rows))
     blocked = distinct.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(n)).cast("int"))
 
