@@ -51,7 +51,7 @@ def words(text: str) -> list[str]:
     out = []
     for w in _WORD.findall(_SPLIT.sub(" ", text)):
         w = w.lower()
-        if _CJK.search(w):
+        if not w.isascii() and _CJK.search(w):
             out += [w[i : i + 2] for i in range(len(w) - 1)]
         elif len(w) > 2:
             out.append(w)
@@ -169,7 +169,7 @@ def features(docs: DataFrame, lexicon: Lexicon, k: int) -> DataFrame:
                 n = Counter(said)
                 dealing = sum(v for s, v in n.items() if s >= 0)
                 of = dealing if code else len(body)  # names like those of loops and logs deal with nothing
-                sure = Counter(decide(u, lexicon, strong=firm) for u in body)
+                sure = Counter(decide(u, lexicon, strong=firm) for u, s in zip(body, said) if s >= 0)
                 head = Counter(decide(u, lexicon) for u in heads)
                 where = Counter(decide(words(a), lexicon) for a in [path or "", *re.findall(r"https?://\S+|`[\w./-]+/[\w./-]+`", text or "")[:1000]])
                 most = max((v for s, v in n.items() if s >= 0), default=0)
