@@ -99,6 +99,23 @@ def test_long_lines_are_scanned_whole():
     assert len(S.find(text, "x.min.js")) == 1
 
 
+@pytest.mark.parametrize("at", range(0, 300, 23))
+def test_long_lines_keep_their_quotes(at):
+    """A credential in one long line is found as in lines of its own, whatever string stands before it."""
+    part = [f'"k{i}":"a note of some length, it is number {i}"' for i in range(300)]
+    part[at] = '"password":"hunter-22-lamp"'
+    text = "{" + ",".join(part) + "}"
+    assert len(text) > 10_000
+    (found,) = S.find(text, "a.json")
+    assert text[slice(*found[1][0])] == "hunter-22-lamp"
+
+
+def test_long_line_gives_what_short_lines_give():
+    part = [f'{{"id":"it\'s {i}","token":"{"ab" * (i % 9)}zz{i}yy88xx","url":"postgres://app:Gr4v3l{i}@db.test/x"}}' for i in range(200)]
+    parts = sum(len(S.find(p, "a.json")) for p in part)
+    assert parts == 400 and len(S.find("[" + ",".join(part) + "]", "a.json")) == parts
+
+
 def test_rows(spark):
     rows = [("a", "x.py", "k\npassword = 'hunter-22-lamp'\r\ntoken = 'zz99yy88xx'", 1), ("a", "x.py", "k\npassword = 'hunter-22-lamp'\r\ntoken = 'zz99yy88xx'", 1), ("b", None, None, 1), ("c", "y", "", 1), (None, "x.py", "password = 'hunter-22-lamp'", 1), ("d", None, "login for db: app / pepper77%", 1)]
     df = spark.createDataFrame(rows, "id string, file_path string, content string, line_no int")
