@@ -165,7 +165,7 @@ def _mixed(s: str) -> bool:
 def _is_secret(value: str, quoted: bool, name: str = "", strict: bool = False) -> bool:
     """Whether a literal beside a credential's name is one; ``strict``: where prose could stand, it must hold a digit or odd case."""
     v = value.strip()
-    if len(v) < 5 or len(v) > 20_000 or _STANDIN.match(v) or _REFERENCE.search(v) or _DIGEST.match(v):
+    if len(v) < 5 or _STANDIN.match(v) or _REFERENCE.search(v) or _DIGEST.match(v):
         return False
     if (not quoted and "(" in v) or "${" in v or "{{" in v or "$(" in v or "***" in v or "%s" in v or (v.startswith("/") and v.endswith("/")) or "[A-Z" in v:
         return False
@@ -350,8 +350,7 @@ def _lines(text: str, config: bool, prose: bool) -> Iterator[_Line]:
 def _block(text: str, m: regex.Match) -> tuple[int, int] | None:
     """The body of a key block that begins at m, if there is one."""
     stop = text.find("-----END", m.end())
-    limit = stop if 0 <= stop - m.end() < 40_000 else min(len(text), m.end() + 40_000)
-    body = text[m.end() : limit]
+    body = text[m.end() : stop if stop >= 0 else len(text)]
     inner = regex.match(r"(?:\\[nr]|[\s\"'`+\\#/*\-;,|>]|(?:Proc-Type|DEK-Info|Comment|Version)[^\n\\]*)*(?P<key>(?:[A-Za-z0-9+/=]+(?:\\[nr]|[\s\"'`+\\#*\-;,|>]|//)*)+)", body)
     if not inner:
         return None
@@ -385,10 +384,6 @@ def find(text: str | None, path: str | None = None, depth: int = 0) -> list[tupl
     secret_kind = config and "kind: Secret" in text
     for ln in _lines(text, config, prose):
         s, base = ln.line, ln.start
-        if len(s) > 3000 and " " not in s[:3000].strip() and regex.fullmatch(r"[A-Za-z0-9+/=_\-]+", s.strip()):
-            if (data := _b64(s.strip())) and container(data) and free(base, ln.end):
-                add([(base, ln.end)], "key container")
-            continue
 
         def take(m: regex.Match, group: str, kind: str, quoted: bool = False, strict: bool = False, test=None) -> None:
             v, a, z = m.group(group), base + m.start(group), base + m.end(group)

@@ -116,6 +116,29 @@ def test_long_line_gives_what_short_lines_give():
     assert parts == 400 and len(S.find("[" + ",".join(part) + "]", "a.json")) == parts
 
 
+LARGE = der(0x30, der(2, b"\0"), *(der(2, bytes([1]) + RANDOM.randbytes(600)) for _ in range(8)))
+PEM = "-----BEGIN PRIVATE KEY-----\n" + "\n".join(base64.b64encode(LARGE).decode()[i : i + 64] for i in range(0, 6000, 64)) + "\n-----END PRIVATE KEY-----\n"
+
+
+@pytest.mark.parametrize("before,after", [("", ""), ("a=b;" * 2000 + 'k("', '");' + "c(d);" * 2000)])
+@pytest.mark.parametrize("secret", [LARGE, PEM.encode(), b"openssh-key-v1\0" + LARGE])
+def test_long_literals_are_masked_whole(before, after, secret):
+    """A key of more than 3,000 characters in base64, alone on its line or within a long one."""
+    literal = base64.b64encode(secret).decode()
+    assert len(literal) > 6000
+    text = before + literal + after
+    assert S.mask(text, S.find(text, "x.js")) == before + "*" * len(literal) + after
+
+
+def test_long_named_values_and_blocks():
+    value = base64.b64encode(RANDOM.randbytes(21_000)).decode()
+    text = f'password = "{value}"'
+    assert S.mask(text, S.find(text, "x.py")) == 'password = "' + "*" * len(value) + '"'
+    lines = "\n".join(KEY[:64] for _ in range(1000))
+    masked = S.mask(block := f"-----BEGIN PRIVATE KEY-----\n{lines}\n-----END PRIVATE KEY-----\n", S.find(block, "x.pem"))
+    assert len(block) > 60_000 and KEY[:64] not in masked
+
+
 def test_rows(spark):
     rows = [("a", "x.py", "k\npassword = 'hunter-22-lamp'\r\ntoken = 'zz99yy88xx'", 1), ("a", "x.py", "k\npassword = 'hunter-22-lamp'\r\ntoken = 'zz99yy88xx'", 1), ("b", None, None, 1), ("c", "y", "", 1), (None, "x.py", "password = 'hunter-22-lamp'", 1), ("d", None, "login for db: app / pepper77%", 1)]
     df = spark.createDataFrame(rows, "id string, file_path string, content string, line_no int")
