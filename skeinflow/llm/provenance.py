@@ -1,7 +1,7 @@
 """Problem 4: label files as handwritten, generated, minified, vendored or blob by belief propagation over directory trees.
 
-Each chunk gives counts (lines that are packed, that are literal data, that carry on the numbers of a line of the same shape) and marks found in comments; they are
-added up by file and, with the path, become the log evidence of the five labels. Names of libraries are learned from the banners and paths
+Each chunk gives counts (lines that are packed, that are literal data, that carry on the numbers of a line of the same shape) and marks found in comments. Marks in the run of comments and
+imports a file begins with, however long it is, count in full; those further down weigh little. All are added up by file and, with the path, become the log evidence of the five labels. Names of libraries are learned from the banners and paths
 of the whole corpus. Then sum-product belief propagation runs on the tree of each source: files and directories are nodes, an edge favours equal
 labels, one upward and one downward sweep by depth give exact marginals. Siblings act on each other through their directory.
 
@@ -65,9 +65,20 @@ _KEYFILE = regex.compile(r"-----BEGIN [A-Z0-9 ]+-----|ssh-(?:rsa|ed25519|dss) AA
 _DIGITS, _WORDS = regex.compile(r"-?\d+"), regex.compile(r"[A-Za-z]+")
 _LOCKED = regex.compile(r"\"lockfileVersion\"|\"integrity\"\s*:\s*\"sha|^integrity sha|^\[\[package\]\]|\bchecksum = \"", regex.M)
 
-FEATURES = "chars double, packed double, data double, numbered double, lines double, escaped double, made int, hand int, copied int, locked int, keyed int"
+#: Lines that may stand above or among the comments a file begins with: directives, packages and imports.
+_PREAMBLE = regex.compile(
+    r"^\s*(?:[\"']use \w+[\"'];?\s*$|<\?(?:php|xml)\b|<!DOCTYPE\b|@(?:charset|import|use)\b|(?:package|namespace|module)\s+[\w.:\\\\]+\s*;?\s*$|declare\s*\(|set -\w+"
+    r"|(?P<opens>(?:static |global |public )?import\b|from\s+\S+\s+import\b|using\s+[\w.:= ]+;|use\s+[\w:\\\\{]|extern crate\b|require(?:_once|_relative)?\b|export\s+(?:\*|\{[^}]*\})\s+from\b|(?:const|let|var|local)\s+[\w${},:\s]+=\s*require\b|library\())",
+    regex.I,
+)
+#: A one-line assignment at the margin, such as that of a logger, which may stand there too.
+_SETUP = regex.compile(r"^(?:export |const |let |var |local |final |static )*[A-Za-z_$][\w.$]*(?:\s*:\s*[\w.\[\], ]+)?\s*:?=\s*(?!.*(?:=>|\bfunction\b|\blambda\b|\{))[^=\s].{0,160}[^(\[,\\]$")
+
+FEATURES = "chars double, packed double, data double, numbered double, lines double, escaped double, locked int, keyed int, keyed_low int, made_low int, hand_low int, copied_low int"
 _COUNTS = ("chars", "packed", "data", "numbered", "lines", "escaped")
-_FLAGS = ("made", "hand", "copied", "locked", "keyed")
+_FLAGS = ("locked", "keyed", "keyed_low", "made_low", "hand_low", "copied_low")
+#: Marks that count in full if the chunk continues the run of comments its file begins with.
+_LEADING = ("made", "hand", "copied")
 
 _CODE = r"\.(?:js|jsx|mjs|cjs|ts|tsx|py|go|java|rs|c|h|cc|cpp|hpp|cs|php|rb|swift|kt|scala|css|scss|sql|sh|lua|r|m)$"
 _PROSE = r"\.(?:md|rst|txt|adoc|html?)$"
@@ -80,10 +91,73 @@ _DATA_PATH = r"(?:^|/)(?:data|resources|fixtures|assets)/"
 _VERSIONED = r"([a-z][a-z-]*[a-z])-\d+\.\d+\.\d+(?=[./-])"
 
 
-def look(content: str | None, head: bool) -> tuple[list[float], list[int], list[str]]:
-    """Counts, marks and library names of one chunk; ``head``: it may begin its file."""
+def _remarks(content: str, head: bool) -> Iterator[tuple[str, str | None, bool]]:
+    """(text, what it says, whether only comments and preamble stand above) of each comment line, None for other lines.
+
+    A last item without a text tells whether the whole chunk is such a run. Comments that follow code on a line are read if they are
+    of the kind that packers keep; inner lines of a docstring never belong to the run.
+    """
+    lead, close, quote, nest = True, "", "", 0
+    lines = content.split("\n")
+    if not head:  # it may begin within a comment
+        for line in lines:
+            if "/*" in line:
+                break
+            if line.rstrip().endswith("*/"):
+                close = "*/"
+                break
+    for line in lines:
+        if quote:
+            yield line, line.strip(), False
+            if quote in line:
+                quote = ""
+            continue
+        rest = line
+        while True:
+            m = _COMMENT.match(rest)
+            start = rest.lstrip()
+            if not close and start.startswith(("/*", "<!--")):
+                close = "*/" if start.startswith("/*") else "-->"
+            if not close:
+                break
+            end = rest.find(close, len(rest) - len(start) + 2 if start.startswith("/*") else 0)
+            text = rest if end < 0 else rest[: end + len(close)]
+            m = _COMMENT.match(text)
+            yield text, m.group(1) if m else text.strip(), lead
+            rest = "" if end < 0 else rest[end + len(close) :]
+            if end >= 0:
+                close = ""
+            if not rest.strip():
+                rest = ""
+                break
+        if not rest.strip():
+            if not line.strip():
+                yield line, None, lead
+            continue
+        if m:
+            yield rest, m.group(1), lead
+            if (q := rest.lstrip()[:3]) in ('"""', "'''") and rest.count(q) % 2:
+                quote = q
+            continue
+        if nest > 0 or (lead and (p := _PREAMBLE.match(rest))):
+            if nest > 0 or p.group("opens"):
+                nest = max(0, nest + sum(rest.count(c) for c in "([{") - sum(rest.count(c) for c in ")]}"))
+        elif not _SETUP.match(rest):
+            lead = False
+        yield rest, None, lead
+        at = rest.find("/*")
+        while at >= 0 and (end := rest.find("*/", at + 2)) >= 0:
+            if rest[at + 2 : at + 3] in ("!", "*"):
+                m = _COMMENT.match(text := rest[at : end + 2])
+                yield text, m.group(1) if m else text, False
+            at = rest.find("/*", end + 2)
+    yield "", None, lead
+
+
+def look(content: str | None, head: bool) -> tuple[list[float], list[int], list[int], list[str | None], bool]:
+    """Counts, marks, marks of its leading run, library names in and below it, and whether it is such a run as a whole; ``head``: the chunk may begin its file."""
     if not content:
-        return [0.0] * 6, [0] * 5, []
+        return [0.0] * 6, [0] * 6, [0] * 3, [None, None], True
     lines = content.split("\n")
     chars = float(len(content))
     packed = data = numbered = 0.0
@@ -130,35 +204,36 @@ def look(content: str | None, head: bool) -> tuple[list[float], list[int], list[
                 numbered += 1
             shapes[shape] = now
     escaped = float(sum(len(m.group()) for m in _ESCAPED.finditer(content))) if "\\x" in content or "_0x" in content else 0.0
-    made = hand = copied = 0
-    names: list[str] = []
-    if head:
-        above = ""
-        for line in lines[:24]:
-            m = _COMMENT.match(line[:300])
-            if not m:
-                above = ""
-                continue
-            said = m.group(1)
-            if _HAND.search(said):
-                hand = 1
-            elif _STRONG.search(said):
-                made = 2
-            elif _MADE.search(said):
-                made = max(made, 2 if _KEEP.search(above + " " + said) else 1)
-            elif made and _KEEP.search(said):
-                made = 2
-            for rule in _BANNER:
-                if b := rule.search(line[:300]):
-                    names.append(b.group("lib").lower())
-                    copied = max(copied, 1)
-            if _COPY.search(said):
-                copied = 2
-            above = said
+    marks: dict[bool, list[int]] = {True: [0, 0, 0], False: [0, 0, 0]}
+    names: dict[bool, list[str]] = {True: [], False: []}
+    above, lead = "", True
+    for text, said, lead in _remarks(content, head):
+        if said is None:
+            above = ""
+            continue
+        of = marks[lead]
+        if _HAND.search(said):
+            of[1] = 1
+        elif _STRONG.search(said):
+            of[0] = 2
+        elif _MADE.search(said):
+            of[0] = max(of[0], 2 if _KEEP.search(above + " " + said) else 1)
+        elif of[0] and _KEEP.search(said):
+            of[0] = 2
+        for rule in _BANNER:
+            if b := rule.search(text):
+                names[lead].append(b.group("lib").lower())
+                of[2] = max(of[2], 1)
+        if _COPY.search(said):
+            of[2] = 2
+        above = said
+    key = _KEYFILE.search(content)
     return (
         [chars, packed, data, numbered, float(held), escaped],
-        [made, hand, copied, int(bool(_LOCKED.search(content[:4000]))), int(bool(_KEYFILE.search(content[:200])))],
-        names[:1] if not names or names[0] not in ("version", "release") else [],
+        [int(bool(_LOCKED.search(content))), int(bool(key) and key.start() < 200), int(bool(key)), *marks[False]],
+        marks[True],
+        [n[0] if n and n[0] not in ("version", "release") else None for n in (names[True], names[False])],
+        lead,  # of the last item
     )
 
 
@@ -169,18 +244,47 @@ def chunk_features(chunks: DataFrame) -> DataFrame:
         for p in parts:
             rows = []
             for i, s, f, c, start in zip(p.id, p.source_id, p.file_path, p.content, p.start_line):
-                counts, flags, names = look(c, not start == start or start is None or start <= 1)
-                rows.append((i, s, f, *counts, *flags, names[0] if names else None))
-            yield pd.DataFrame(rows, columns=["id", "source_id", "file_path", *_COUNTS, *_FLAGS, "library"])
+                at = 1.0 if start is None or not start == start else max(1.0, start)
+                counts, flags, leading, names, whole = look(c, at == 1)
+                rows.append((i, s, f, *counts, *flags, *leading, *names, at, whole))
+            yield pd.DataFrame(rows, columns=["id", "source_id", "file_path", *_COUNTS, *_FLAGS, *_LEADING, "library", "library_low", "at", "whole"])
 
-    schema = f"id string, source_id string, file_path string, {FEATURES}, library string"
+    schema = f"id string, source_id string, file_path string, {FEATURES}, made int, hand int, copied int, library string, library_low string, at double, whole boolean"
     return chunks.select("id", "source_id", "file_path", "content", F.col("start_line").cast("double").alias("start_line")).mapInPandas(run, schema)
 
 
 def file_features(chunks: DataFrame) -> DataFrame:
-    """The counts and marks of each file that has chunks; a chunk id counts once."""
-    each = chunk_features(chunks).groupBy("source_id", "file_path", "id").agg(*(F.max(c).alias(c) for c in (*_COUNTS, *_FLAGS, "library")))
-    return each.groupBy("source_id", "file_path").agg(*(F.sum(c).alias(c) for c in _COUNTS), *(F.max(c).alias(c) for c in _FLAGS), F.max("library").alias("library"))
+    """The counts and marks of each file that has chunks; a chunk id counts once.
+
+    Marks of a chunk's leading run count in full if all chunks above it are such runs as a whole, else as those further down (``_low``).
+    """
+    each = chunk_features(chunks).groupBy("source_id", "file_path", "id").agg(*(F.max(c).alias(c) for c in (*_COUNTS, *_FLAGS, *_LEADING, "library", "library_low", "whole")), F.min("at").alias("at"))
+    marked = F.when((F.greatest(*_LEADING) > 0) | F.col("library").isNotNull(), F.struct("at", *_LEADING, "library"))
+    by = each.groupBy("source_id", "file_path").agg(
+        *(F.sum(c).alias(c) for c in _COUNTS),
+        *(F.max(c).alias(c) for c in (*_FLAGS, "library_low")),
+        F.min("at").alias("first"),
+        F.min(F.when(~F.col("whole"), F.col("at"))).alias("last"),
+        F.collect_list(marked).alias("marks"),
+    )
+    last = F.when(F.col("first") > 1, F.lit(0.0)).otherwise(F.coalesce("last", F.lit(float("inf"))))
+    by = by.withColumn("in_run", F.filter("marks", lambda x: x["at"] <= last)).withColumn("below", F.filter("marks", lambda x: x["at"] > last))
+
+    def most(of: str, c: str) -> Column:
+        return F.array_max(F.transform(of, lambda x: x[c]))
+
+    return by.select(
+        "source_id",
+        "file_path",
+        *_COUNTS,
+        "locked",
+        "keyed",
+        "keyed_low",
+        *(F.coalesce(most("in_run", c), F.lit(0)).alias(c) for c in _LEADING),
+        *(F.greatest(F.col(f"{c}_low"), F.coalesce(most("below", c), F.lit(0))).alias(f"{c}_low") for c in _LEADING),
+        most("in_run", "library").alias("library"),
+        F.coalesce(most("below", "library"), F.col("library_low")).alias("library_low"),
+    )
 
 
 def _log_evidence(known: Column) -> list[Column]:
@@ -208,6 +312,7 @@ def _log_evidence(known: Column) -> list[Column]:
         ((flag("locked") == 1) & path.rlike(r"lock"), 5.0),
         ((flag("made") == 2) & ~prose, 8.0),
         ((flag("made") == 1) & ~prose & (flag("hand") == 0), 2.5),
+        ((flag("made") == 0) & (flag("made_low") == 2) & ~prose & (flag("hand_low") == 0), 1.0),
         (flag("hand") == 1, -6.0),
         (path.rlike(_GENERATED_PATH) & ~prose, 7.0),
         ((share("numbered", "lines") > 0.35) & code, 7.0),
@@ -229,6 +334,7 @@ def _log_evidence(known: Column) -> list[Column]:
         ((flag("copied") == 2) & ~prose & banner, 7.0),
         ((flag("copied") == 2) & ~prose & ~banner, 3.0),
         ((flag("copied") == 1) & code & banner, 4.0),
+        ((flag("copied") == 0) & (flag("copied_low") > 0) & code & F.col("known_low"), 1.5),
         (prose & ~path.rlike(_VENDOR_PATH), -4.0),
     )
     blob = score(
@@ -238,7 +344,7 @@ def _log_evidence(known: Column) -> list[Column]:
         (has & (share("data") < 0.25), -5.0),
         (key | ~code, -5.0),
     )
-    hand = score((prose, 3.0), (key, 6.0), (has & (share("packed") < 0.05) & (share("data") < 0.05) & (flag("made") == 0) & (flag("copied") == 0) & ~lock, 2.0))
+    hand = score((prose, 3.0), (key, 6.0), (~key & (flag("keyed_low") == 1) & ~code, 1.5), (has & (share("packed") < 0.05) & (share("data") < 0.05) & (flag("made") == 0) & (flag("copied") == 0) & ~lock, 2.0))
     return [c + F.lit(p) for c, p in zip((hand, generated, minified, vendored, blob), PRIOR)]
 
 
@@ -248,9 +354,10 @@ def evidence(files: DataFrame, chunks: DataFrame) -> DataFrame:
     path = F.coalesce("file_path", F.lit(""))
     base = files.select("id", "source_id", "file_path").filter(F.col("id").isNotNull()).groupBy("id").agg(F.min("source_id").alias("source_id"), F.min("file_path").alias("file_path"))
     # names of libraries: from banners of copies, and of directories right below a container
-    from_banner = features.filter(F.col("copied") > 0).select(F.col("library").alias("name"))
-    from_path = base.select(F.lower(F.regexp_extract(path, _CONTAINER, 1)).alias("name"))
-    names = from_banner.unionByName(from_path).filter(F.length("name") > 2).groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LIBRARY_FILES).select("name")
+    from_banner = features.filter(F.col("copied") > 0).select(F.col("library").alias("name"), F.lit(1.0).alias("w"))
+    from_below = features.filter((F.col("copied_low") > 0) & F.col("library").isNull()).select(F.col("library_low").alias("name"), F.lit(0.5).alias("w"))
+    from_path = base.select(F.lower(F.regexp_extract(path, _CONTAINER, 1)).alias("name"), F.lit(1.0).alias("w"))
+    names = from_banner.unionByName(from_below).unionByName(from_path).filter(F.length("name") > 2).groupBy("name").agg(F.sum("w").alias("n")).filter(F.col("n") >= LIBRARY_FILES).select("name")
     lower = F.lower(path)
     parts = F.concat(
         F.slice(F.split(lower, "/"), 1, F.greatest(F.size(F.split(lower, "/")) - 1, F.lit(0))),
@@ -259,12 +366,14 @@ def evidence(files: DataFrame, chunks: DataFrame) -> DataFrame:
     # directory names like name-1.2.3 count as the name
     parts = F.transform(parts, lambda x: F.regexp_replace(x, r"-\d+\.\d+[\w.]*$", ""))
     known = base.select("id", F.explode(F.array_distinct(parts)).alias("name")).filter(F.length("name") > 2).join(names, "name", "left_semi").select("id").distinct().withColumn("known", F.lit(True))
-    banners = features.select("source_id", "file_path", F.col("library").alias("name")).join(names, "name", "left_semi").select(F.col("source_id").alias("s"), F.col("file_path").alias("p")).withColumn("banner", F.lit(True))
+    said = features.select("source_id", "file_path", F.coalesce("library", "library_low").alias("name"), F.col("library").isNotNull().alias("banner"))
+    banners = said.join(names, "name", "left_semi").select(F.col("source_id").alias("s"), F.col("file_path").alias("p"), "banner")
     joined = (
         base.join(features, ["source_id", "file_path"], "left")
         .join(banners, F.col("source_id").eqNullSafe(F.col("s")) & F.col("file_path").eqNullSafe(F.col("p")), "left")
         .drop("s", "p")
         .join(known, "id", "left")
+        .withColumn("known_low", F.col("banner").isNotNull())
         .withColumn("known_banner", F.coalesce("banner", F.lit(False)))
     )
     segments = F.split(path, "/")

@@ -40,6 +40,42 @@ def test_each_file_once(labels):
     assert len(labels) == len(CASES) + 2 and labels["none"].label == "handwritten" and labels["deep"].label == "handwritten"
 
 
+LICENCE = "".join(f"// line {3 * i} of the terms\n" for i in range(40))
+IMPORTS = "import {\n" + "".join(f"  part{3 * i},\n" for i in range(40)) + "} from './parts';\n"
+BLOCK = "/*\n" + "".join(f"line {3 * i} of the terms\n" for i in range(40)) + "*/\n"
+MADE, JS = "// Code generated by tablegen. DO NOT EDIT.\n", "function area(shape, unit) {\n  return shape.width * shape.height;\n}\n" * 12
+
+
+def test_marks_of_any_depth(spark):
+    """Banners after long headers count in full, also in a later chunk; mentions further down don't."""
+    cases = {
+        "a/licence.js": ([(1, LICENCE + MADE + JS)], "generated"),
+        "b/imports.js": ([(1, IMPORTS + MADE + JS)], "generated"),
+        "c/block.js": ([(1, BLOCK + MADE + JS)], "generated"),
+        "g/logger.py": ([(1, "import logging\n\nlog = logging.getLogger(__name__)\n\n" + HEAD + CODE)], "generated"),
+        "d/two.js": ([(1, LICENCE), (41, MADE + JS)], "generated"),
+        "e/mention.js": ([(1, JS[: JS.index("}\n") + 2] + "// ids are auto-generated by the database, do not set them by hand\n" + JS)], "handwritten"),
+        "f/later.js": ([(1, JS), (37, MADE + JS)], "handwritten"),
+    }
+    files = [(f"f{i}", f"s{i}", p, "h", "x") for i, p in enumerate(cases)]
+    chunks = [(f"c{i}.{at}", f"s{i}", p, c, at, 0) for i, (p, (parts, _)) in enumerate(cases.items()) for at, c in parts]
+    got = {r.file_id: r.label for r in P.label_files(spark.createDataFrame(files, FILES), spark.createDataFrame(chunks, CHUNKS)).collect()}
+    assert [got[f"f{i}"] for i in range(len(cases))] == [want for _, want in cases.values()]
+
+
+def test_library_beyond_300_characters():
+    line = "/*! " + "terms of use " * 40 + "copied from tinylib 3.1.4 */!function(){a=1}();"
+    _, _, leading, names, _ = P.look(line, True)
+    assert leading[2] == 2 and names == ["tinylib", None]
+    _, flags, leading, names, _ = P.look("a=1;" * 200 + "/*! tinylib v3.1.4 */b=2;", True)
+    assert leading[2] == 0 and flags[-1] == 1 and names == [None, "tinylib"]
+
+
+def test_lock_and_key_marks_anywhere():
+    assert P.look('{"a": 1}\n' * 1000 + '"lockfileVersion": 3', True)[1][0] == 1
+    assert P.look("Bag Attributes\n" * 30 + "-----BEGIN CERTIFICATE-----\n", True)[1][1:3] == [0, 1]
+
+
 def test_marginals_are_exact(spark):
     """Against the sum over all labellings of a small tree."""
     import itertools
