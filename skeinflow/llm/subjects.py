@@ -7,7 +7,7 @@
 3. Latent model. Votes are counted by pattern over the corpus; expectation maximisation learns how often each function votes right where the
    subject is dealt with and where it isn't; a pattern's posterior decides all pairs that show it.
 
-Bounds: ``LABELLED`` labelled documents, ``TERMS`` words of lexicon per subject, 3^6 patterns; all counts cover all documents.
+Bounds: ``LABELLED`` labelled documents, 3^6 patterns; all counts cover all documents. The lexicon holds every pure word and is sent to the tasks whole.
 
 Cases: null, empty and blank texts and texts without known words have no row; labels in other case or with blanks are tidied, unknown and null ones ignored; no labels at all
 leave the seeds; repeated document rows give one row per id; fenced blocks and boilerplate deal with nothing; extra columns are ignored.
@@ -22,13 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinflow.functions.session import cut, small
 from skeinflow.llm.seeds import SEEDS
 
-LABELLED, TERMS, ROUNDS = 20_000, 20_000, 2
+LABELLED, ROUNDS = 20_000, 2
 #: A word of the lexicon occurs at least so often and so purely with one subject.
 MIN_COUNT, PURITY = 4, 0.7
 #: Share of a document's units that makes a subject of it; with less it is met in passing.
@@ -114,9 +114,7 @@ def _counted(parts: DataFrame) -> Lexicon:
     scaled = by.withColumn("c", F.col("n") * F.element_at(scale, F.col("subject")))
     best = scaled.groupBy("word").agg(F.sum("n").alias("raw"), F.sum("c").alias("total"), F.max(F.when(F.col("subject") >= 0, F.struct("c", F.col("subject")))).alias("best")).filter(F.col("best").isNotNull())
     pure = cut(best.select("word", F.col("best.subject").alias("subject"), F.col("best.c").alias("c"), "total", "raw").filter((F.col("raw") >= MIN_COUNT) & (F.col("best.c") >= PURITY * F.col("total"))))
-    rank = Window.partitionBy("subject").orderBy(F.desc("c"), "word")
-    kept = pure.withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= TERMS)
-    return _lexicon([tuple(r) for r in kept.select("word", "subject", "c", "total").collect()])  # at most TERMS per subject
+    return _lexicon([tuple(r) for r in pure.select("word", "subject", "c", "total").collect()])  # all of them: grows with the vocabulary
 
 
 def _count(docs: DataFrame, lexicon: Lexicon | None, known: str | None) -> DataFrame:

@@ -57,6 +57,15 @@ def test_areas(rows):
     assert (103, "agriculture") not in rows and (1, "agriculture") not in rows
 
 
+def test_lexicon_keeps_all_pure_words(spark):
+    from pyspark.sql import functions as F
+
+    rare = spark.range(20_100).select(F.concat(F.lit("w"), "id").alias("word"), F.lit(0).alias("subject"), F.lit(5).cast("long").alias("n"))
+    other = spark.createDataFrame([("plain", -1, 90_000), ("other", 1, 100_000)], "word string, subject int, n long")
+    lexicon = P._counted(rare.unionByName(other))
+    assert len(lexicon) == 20_101 and lexicon["w20099"][0] == 0
+
+
 def test_empty(spark):
     docs, subjects, labels = spark.createDataFrame([], DOCS), spark.createDataFrame([("law", "")], SUBJECTS), spark.createDataFrame([], LABELS)
     assert P.label_documents(docs, subjects, labels).collect() == []
