@@ -4,7 +4,7 @@ A stretch longer than the limit less the overlap is cut at the strongest boundar
 after the first then starts with about the overlap of the text before it. Sizes are tokens of ceil(code points / 4).
 
 Boundary strengths, from strong to weak: line before a heading or a definition at the margin, blank line, line end before a less indented
-line, line end, sentence end, clause end, white space, and only where none of these lies within reach any place that parts neither CR from LF nor a
+line, line end, sentence end, clause end, white space, and only where a stretch has none of these any place that parts neither CR from LF nor a
 mark from its letter.
 
 Cases: null, empty and fitting contents give no piece; null options and sources without options take the defaults; a chunk_size below 1
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from skeinflow.functions.session import small
 
 CHUNK_SIZE, CHUNK_OVERLAP, CHARS = 500, 50, 4
-#: Share of a stretch, on either side of its midpoint, where a boundary is looked for.
+#: Share of a stretch, on either side of its midpoint, where the strongest boundary is taken; where it has none, the nearest further out is.
 REACH = 0.25
 
 _DEFINITION = regex.compile(r"\n(?=(?:#{1,6} |(?:export |pub |public |private |static |async |default )*(?:def|class|func|fn|function|interface|impl|struct|enum|module|resource|variable|create table)\b|@\w))", regex.I)
@@ -67,6 +67,9 @@ def _cut(text: str, at: np.ndarray, strength: np.ndarray, a: int, z: int) -> int
         s = strength[lo:hi]
         near = np.flatnonzero(s == s.max()) + lo
         return int(at[near[np.argmin(np.abs(at[near] - middle))]])
+    lo, hi = np.searchsorted(at, (a + 1, z))
+    if lo < hi:  # the nearest place further out
+        return int(at[lo + int(np.argmin(np.abs(at[lo:hi] - middle)))])
     for step in range(reach):
         for i in (middle - step, middle + step):
             if a < i < z and _whole(text, i):
@@ -91,7 +94,7 @@ def split(text: str, size: int, overlap: int, structure: bool = True) -> list[tu
     for a, z in cuts:
         start = max(0, a - back) if a else 0
         if a and back:
-            lo, hi = np.searchsorted(at, (start, start + max(1, back // 3) + 1))
+            lo, hi = np.searchsorted(at, (start, min(a, start + max(1, back // 3) + 1)))
             if lo < hi:  # begin the overlap at a natural place too, at most a third shorter
                 s = strength[lo:hi]
                 start = int(at[lo + int(np.argmax(s))])

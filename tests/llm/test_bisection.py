@@ -21,6 +21,12 @@ def test_cuts_at_blank_lines():
     assert len(cuts) > 3 and all(text[:a].endswith("\n\n") for _, a, _ in cuts[1:])
 
 
+def test_cuts_at_places_far_from_the_middle():
+    prose, literal = "word " * 80, "x" * 1700
+    assert [(a, z) for _, a, z in B.split(prose + literal, 500, 50)] == [(0, 400), (400, 2100)]
+    assert [(a, z) for _, a, z in B.split(literal + " " + prose, 500, 50)] == [(0, 1701), (1701, 2101)]
+
+
 def test_cases(spark):
     chunks = spark.createDataFrame(
         [("a", "s", "x" * 5000, 1), ("a", "s", "x" * 5000, 1), ("b", "s", None, 1), ("c", "s", "", 1), ("d", "t", "y\n" * 90, 1), ("e", None, "z " * 3000, 1)],
