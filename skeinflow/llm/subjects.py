@@ -169,7 +169,7 @@ def features(docs: DataFrame, lexicon: Lexicon, k: int) -> DataFrame:
                 of = dealing if code else len(body)  # names like those of loops and logs deal with nothing
                 sure = Counter(decide(u, lexicon, strong=firm) for u, s in zip(body, said) if s >= 0)
                 head = Counter(decide(u, lexicon) for u in heads)
-                where = Counter(decide(words(a), lexicon) for a in [path or "", *re.findall(r"https?://\S+|`[\w./-]+/[\w./-]+`", text or "")[:1000]])
+                where = Counter(decide(words(a), lexicon) for a in [path or "", *re.findall(r"https?://\S+|`[\w./-]+/[\w./-]+`", text or "")])
                 most = max((v for s, v in n.items() if s >= 0), default=0)
                 for s in range(k):
                     if n[s] or head[s] or where[s]:

@@ -66,6 +66,13 @@ def test_lexicon_keeps_all_pure_words(spark):
     assert len(lexicon) == 20_101 and lexicon["w20099"][0] == 0
 
 
+def test_addresses_of_any_number_vote(spark):
+    text = "".join(f"https://x.test/{i}\n" for i in range(1200)) + "https://x.test/plaintiff\n"
+    docs = spark.createDataFrame([(1, "s", text, "guide", "x", "x")], DOCS)
+    (row,) = P.features(docs, {"plaintiff": (0, 2.0)}, 1).collect()
+    assert row.address == 1
+
+
 def test_empty(spark):
     docs, subjects, labels = spark.createDataFrame([], DOCS), spark.createDataFrame([("law", "")], SUBJECTS), spark.createDataFrame([], LABELS)
     assert P.label_documents(docs, subjects, labels).collect() == []
