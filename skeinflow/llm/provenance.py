@@ -9,8 +9,8 @@ Work per sweep level is one aggregation or join over directories, keyed by sourc
 directory lands in one task: file messages are added up map-side before the shuffle.
 
 Cases: files without chunks are judged by path and neighbours alone; null or empty contents count nothing; a null path is a file in the root;
-repeated rows and older versions of a file are one file; chunks without a row in files give no row; extra columns are ignored. Directories
-below ``DEPTH`` levels are taken together with their ancestor at that depth.
+repeated rows and older versions of a file are one file; chunks without a row in files give no row; extra columns are ignored.
+Directories of any depth count as themselves; each level is one more step up and down.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from skeinflow.functions.session import cut
 
 LABELS = ("handwritten", "generated", "minified", "vendored", "blob")
-DEPTH = 10
 #: log prior of the labels and log compatibility of equal against unequal labels of parent and child.
 PRIOR = (0.0, -2.2, -2.2, -2.2, -2.2)
 SAME, OTHER = math.log(0.52), math.log(0.12)
@@ -377,7 +376,7 @@ def evidence(files: DataFrame, chunks: DataFrame) -> DataFrame:
         .withColumn("known_banner", F.coalesce("banner", F.lit(False)))
     )
     segments = F.split(path, "/")
-    folder = F.array_join(F.slice(segments, 1, F.least(F.greatest(F.size(segments) - 1, F.lit(0)), F.lit(DEPTH))), "/")
+    folder = F.array_join(F.slice(segments, 1, F.greatest(F.size(segments) - 1, F.lit(0))), "/")
     scores = _log_evidence(F.coalesce("known", F.lit(False)))
     return joined.select("id", F.coalesce("source_id", F.lit("")).alias("source_id"), folder.alias("dir"), (~F.lower(path).rlike(_LOCKFILE)).alias("loud"), *(s.alias(f"e{i}") for i, s in enumerate(scores)))
 

@@ -76,6 +76,12 @@ def test_lock_and_key_marks_anywhere():
     assert P.look("Bag Attributes\n" * 30 + "-----BEGIN CERTIFICATE-----\n", True)[1][1:3] == [0, 1]
 
 
+def test_deep_directories_are_kept_apart(spark):
+    top = "/".join("abcdefghijkl")
+    files = spark.createDataFrame([(f"f{d}", "s", f"{top}/{d}/x.py", "h", "x") for d in "pq"], FILES)
+    assert {r.id: r.dir for r in P.evidence(files, spark.createDataFrame([], CHUNKS)).collect()} == {f"f{d}": f"{top}/{d}" for d in "pq"}
+
+
 def test_marginals_are_exact(spark):
     """Against the sum over all labellings of a small tree."""
     import itertools
