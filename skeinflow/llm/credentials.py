@@ -1,8 +1,9 @@
 """Problem 1: find literal credentials in code, configuration and prose, and mask them where they stand.
 
 A line is looked at if it holds a word, a shape or a long literal that a credential could hide in. Literals are decoded by layers (base64, hex, percent
-and backslash escapes, joined string parts) and what comes out is scanned again, up to ``LAYERS`` deep; key containers are parsed by their
-binary grammar (DER for PKCS #1, #8, #12 and SEC 1, the OpenSSH and JKS layouts). What is masked is the outermost literal, so
+and backslash escapes, joined string parts; UTF-8 or UTF-16) and what comes out is scanned again until nothing decodes: each layer is shorter than the one
+around it, so this ends. Key containers are parsed by their binary grammar (DER for PKCS #1, #8 plain and encrypted, #12 and SEC 1, the entries of JKS and
+JCEKS stores, the fields of OpenSSH keys, OpenPGP packets); a store of certificates alone is none. What is masked is the outermost literal, so
 surrounding code keeps its form: every character of it but white space becomes ``*``.
 
 No cases: references (variables, vaults, files), stand-ins, digests, ids, public keys, certificates, patterns and labels.
@@ -27,8 +28,6 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LAYERS = 5
-
 #: Words for credentials in several languages, where they end an identifier.
 _CORE = (
     r"pass(?:word|wd|wort|phrase|code)s?|pwd|secrets?|tokens?|credentials?|creds|api[_\- ]?keys?|(?:access|account|licen[sc]e|service|encryption|signing|private|auth|secret|client|shared|master|storage|app|admin|deploy|session|hmac|jwt)[_\- ]?keys?"
@@ -42,6 +41,39 @@ _CALL = regex.compile(rf"{_NAME}(?P<after>[\"'`]?)\s*(?P<op>\(|,)\s*(?=[\"'`]|b[
 _SQL = regex.compile(r"\b(?:password|identified\s+by|passwd)\s+(?=')", regex.I)
 _LOGIN = regex.compile(r"\b(?:login|authenticate|basicAuth|basic_auth|auth|connect|signIn|sign_in|credentials)\(\s*(?:\w+\s*=\s*)?([\"'`])([^\"'`]{1,60})\1\s*,\s*(?:\w+\s*=\s*)?(?=[\"'`])", regex.I)
 _PROSE_LOGIN = regex.compile(r"\blogin\s+(?:for|at|to|on)\s+\S+?:\s*(?P<user>\S+)\s*/\s*(?P<value>\S+)", regex.I)
+_LOGIN_AS = regex.compile(
+    r"\b(?:log(?:ged|ging)?[ -]?(?:in|on)|sign(?:ed)?[ -]?in|connect|anmeld\w+|einlogg\w+|conect\w+|connect\w+)\b[^\n]{0,60}?\b(?:as|user|als|como|en tant que)\s+[`\"']?(?P<user>[\w.@+\-]+)[`\"']?"
+    r"\s*(?:,|/|with|using|and|mit|con|avec)\s+(?:(?:the |dem |la |le )?(?:password|passphrase|passwort|kennwort|contraseña|mot de passe)\s+)?(?P<value>`[^`\n]+`|\"[^\"\n]+\"|'[^'\n]+'|\S*[^\s.,;)])",
+    regex.I,
+)
+#: A call or a tuple that takes an account and, last, its password; ``open`` and its like take a host first.
+_ACCOUNT_CALL = regex.compile(
+    r"(?P<fn>\b[\w.:>]*?(?:log_?in|log_?on|sign_?in|auth|authenticate|basic_?auth|credentials?|unlock|bind|connect|open|dial|attach))\s*(?:=\s*)?\(\s*[\[(]?\s*(?:\w+\s*=\s*)?"
+    r"(?P<args>(?:[bruf]?(?:\"[^\"\n]*\"|'[^'\n]*'|`[^`\n]*`)\s*,\s*(?:\w+\s*=\s*)?)+)(?=[bruf]?[\"'`])",
+    regex.I,
+)
+_ARGUMENT = regex.compile(r"[bruf]?(?:\"([^\"\n]*)\"|'([^'\n]*)'|`([^`\n]*)`)", regex.I)
+_HOST = regex.compile(r"(?:[\w-]+\.)+[A-Za-z][\w-]*(?::\d+)?|localhost(?::\d+)?|\w+://[^\s]+|(?:\d{1,3}\.){3}\d{1,3}(?::\d+)?")
+#: Programs that take a password as a short option.
+_SHELL = (
+    regex.compile(r"\bsshpass\s+(?:-\w\s+)*?-p\s*(?P<value>\"[^\"\n]+\"|'[^'\n]+'|[^\s\"']+)"),
+    regex.compile(r"\b(?:mysql|mysqldump|mysqladmin|mysqlimport|mariadb|mariadb-dump)\b[^|;&\n]*?\s-p(?P<value>\"[^\"\n]+\"|'[^'\n]+'|[^\s\"']+)"),
+    regex.compile(r"\b(?:redis-cli|valkey-cli)\b[^|;&\n]*?\s-a\s+(?P<value>\"[^\"\n]+\"|'[^'\n]+'|[^\s\"']+)"),
+    regex.compile(r"\b(?:docker|podman|helm registry|az acr) login\b[^|;&\n]*?\s-p\s+(?P<value>\"[^\"\n]+\"|'[^'\n]+'|[^\s\"']+)"),
+    regex.compile(r"\b(?:plink|pscp|psftp)\b[^|;&\n]*?\s-pw\s+(?P<value>\"[^\"\n]+\"|'[^'\n]+'|[^\s\"']+)"),
+    regex.compile(r"\s-(?:pass(?:in|out)?|k|passwd)\s+pass:(?P<value>[^\s\"']+)"),
+)
+#: A comment whose only content is a literal that is to go away.
+_LEFTOVER = regex.compile(r"\b(?:TODO|FIXME|XXX|HACK|remove|delete|rotate|revoke|temp|tmp|temporary|old|was)\b[^:=\n]{0,40}[:=]\s*[`\"']?(?P<value>[^\s`\"']{8,})[`\"']?\s*(?:\*/|-->)?\s*$", regex.I)
+_ELEMENT = regex.compile(rf"<(?:[\w.:\-]*?){_NAME}(?:\s[^<>]*)?>\s*(?P<value>[^<>\n]*[^<>\s])\s*</", regex.I)
+_ATTRIBUTE = regex.compile(
+    rf"\b(?:key|name|id|property)\s*=\s*(?P<q>[\"'])[^\"'<>]*?{_NAME}(?P=q)(?:[^<>]*?\bvalue\s*=\s*(?P<r>[\"'])(?P<value>[^\"'<>]+)(?P=r)|\s*>\s*(?P<value2>[^<>\n]*[^<>\s])\s*</)", regex.I
+)
+_CELL = regex.compile(rf"[`*_ ]*[\w .\-]*?{_NAME}[`*_: ]*", regex.I)
+_RULE = regex.compile(r"\s*\|?(?:\s*:?-{2,}:?\s*\|)+\s*(?::?-{2,}:?)?\s*")
+#: Names of passwords, which people choose, so that a plain word may be one.
+_CHOSEN = regex.compile(r"(?:pass(?:word|wd|wort|phrase|code)?|pwd|mot[_\- ]?de[_\- ]?passe|kennwort|contrase[nñ]a|clave|senha|mdp|parola|wachtwoord|has[łl]o|пароль|密码|密碼|パスワード)s?$", regex.I)
+_ENCODING = regex.compile(r"(?:utf|ucs|iso|latin|cp|windows|ascii|base|sha|md)[-_]?\d*(?:[-_]\w+)?", regex.I)
 _NETRC = regex.compile(r"\b(?:login|user)\s+\S+\s+password\s+(?P<value>\S+)", regex.I)
 _OPTION = regex.compile(rf"(?<![\w-])--?(?:[\w-]*-)?(?:password|passwd|pwd|token|secret|api-?key|access-?key|auth-?token|private-?key|credentials?)[= ]\s*(?P<value>[\"']?[^\s\"']+)", regex.I)
 _ENV = regex.compile(rf"^\s*(?:ENV|ARG)\s+\w*?{_NAME}\s+(?P<value>\S+)\s*$", regex.I)
@@ -78,7 +110,8 @@ _BAD_PREFIX = regex.compile(r"(?:public|pub|hash|hashed|cache|missing|max|min)[_
 _WORDS = (
     "pass", "pwd", "pw=", "pw:", "'pw'", '"pw"', " pw ", ".pin", " pin", '"pin', "'pin", "_pin", "secret", "token", "credential", "creds", "apikey", "api_key", "api-key", "api key", "kennw", "contrase", "clave", "senha", "mdp", "parola",
     "wachtwoord", "haslo", "hasło", "geheim", "парол", "密码", "密碼", "パスワード", "login", "authoriz", "_auth", "auth(", "-u ", "--user", "bearer ", "basic ", "identified", "://", "eyj", "-----begin", "putty-user", "atob", "b64", "base64", "fromhex", "unhex",
-    "unquote", "decodeuri", "\\x", "\\u00", "&#", "akia", "asia", "aiza", "xox",
+    "unquote", "decodeuri", "\\x", "\\u00", "&#", "akia", "asia", "aiza", "xox", "log in", "logged in", "sign in", "signed in", "sign_in", "signin", "log on", "logon", "anmeld", "einlogg", "conect", "connect", "auth", "unlock", "open(", "bind(", "dial(",
+    "attach(", "mysql", "mariadb", "redis-cli", "valkey-cli", "todo", "fixme", "xxx", "hack", "remove:", "delete:", "rotate:", "revoke:", " temp", " tmp", "-pw ",
     *(f"{w}{sep}key" for w in ("access", "account", "license", "licence", "service", "encryption", "signing", "private", "auth", "client", "shared", "master", "storage", "app", "admin", "deploy", "session", "hmac", "jwt") for sep in ("", "_", "-", " ")),
 )
 _RUN = re.compile(r"(?<![A-Za-z0-9+/=_\-])[A-Za-z0-9+/_\-]{20,}={0,2}(?![A-Za-z0-9])|%[0-9A-Fa-f]{2}[\w.~\-+]{0,3}%[0-9A-Fa-f]{2}")
@@ -123,18 +156,109 @@ def _der(data: bytes, at: int = 0, end: int | None = None) -> list[tuple[int, in
     return out
 
 
+def _read(data: bytes, at: int, width: int) -> tuple[bytes, int] | None:
+    """The bytes behind a big-endian length of ``width`` bytes, and where they end; None if they don't fit."""
+    n = int.from_bytes(data[at : at + width], "big")
+    begin = at + width
+    return (data[begin : begin + n], begin + n) if begin + n <= len(data) else None
+
+
+def _openssh(data: bytes) -> bool:
+    """Whether the fields of an OpenSSH key follow its mark: cipher, derivation, its options, the public keys and a private part."""
+    at = 15
+    fields = []
+    for _ in range(3):
+        got = _read(data, at, 4)
+        if not got:
+            return False
+        fields.append(got[0])
+        at = got[1]
+    if not (fields[0].isascii() and fields[0].decode("ascii", "replace").isprintable() and fields[0] and fields[1]):
+        return False
+    keys = int.from_bytes(data[at : at + 4], "big")
+    at += 4
+    if not 1 <= keys <= len(data):
+        return False
+    for _ in range(keys):
+        got = _read(data, at, 4)
+        if not got:
+            return False
+        at = got[1]
+    return int.from_bytes(data[at : at + 4], "big") > 0 and len(data) > at + 4  # the private part, whole or cut off
+
+
+def _store(data: bytes) -> bool:
+    """Whether a JKS or JCEKS store has an entry of a private or secret key; its certificates are skipped."""
+    if len(data) < 12 or data[4:8] not in (b"\0\0\0\1", b"\0\0\0\2"):
+        return False
+    at = 12
+    for _ in range(int.from_bytes(data[8:12], "big")):
+        tag = int.from_bytes(data[at : at + 4], "big")
+        alias = _read(data, at + 4, 2)
+        if not alias or tag not in (1, 2, 3):
+            return False
+        at = alias[1] + 8  # behind the time
+        if tag == 3:
+            return data[at : at + 4] == b"\xac\xed\0\5"  # a serialised key object
+        if tag == 1:
+            key = _read(data, at, 4)
+            return key is not None and key[0][:1] == b"\x30"
+        if data[7] == 2 and (kind := _read(data, at, 2)):
+            at = kind[1]
+        cert = _read(data, at, 4)
+        if not cert:
+            return False
+        at = cert[1]
+    return False
+
+
+def _pgp(data: bytes) -> bool:
+    """Whether OpenPGP packets begin with a secret key."""
+    head = data[0]
+    if head & 0xC0 == 0xC0:
+        tag, n = head & 0x3F, data[1]
+        at = 2
+        if 192 <= n < 224:
+            n, at = ((n - 192) << 8) + data[2] + 192, 3
+        elif n == 255:
+            n, at = int.from_bytes(data[2:6], "big"), 6
+        elif n >= 224:
+            return False
+    else:
+        tag, width = head >> 2 & 0x0F, 1 << (head & 3)
+        if width == 8:
+            return False
+        n, at = int.from_bytes(data[1 : 1 + width], "big"), 1 + width
+    end = at + n
+    if tag not in (5, 7) or n < 20 or end > len(data) or data[at] not in (3, 4, 5, 6):
+        return False
+    algorithm = data[at + (7 if data[at] == 3 else 5)]
+    return algorithm in (1, 2, 3, 16, 17, 18, 19, 22, 25, 26, 27, 28) and (end == len(data) or data[end] & 0x80 == 0x80)
+
+
+#: The beginnings of the object identifiers of PKCS #5 and PKCS #12 encryption.
+_ENCRYPTION = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+
+
 def container(data: bytes) -> str | None:
-    """What private key the bytes are, by their grammar: pkcs1, pkcs8, sec1, dsa, pkcs12, openssh, jks; None for anything else."""
+    """What private key the bytes are, by their grammar: pkcs1, pkcs8, encrypted pkcs8, sec1, dsa, pkcs12, openssh, jks, jceks, pgp; None for anything else."""
+    if len(data) < 16:
+        return None
     if data.startswith(b"openssh-key-v1\0"):
-        return "openssh"
-    if data[:4] == b"\xfe\xed\xfe\xed" and len(data) > 12 and data[4:8] in (b"\0\0\0\1", b"\0\0\0\2"):
-        return "jks"
-    if len(data) < 16 or data[0] != 0x30:
+        return "openssh" if _openssh(data) else None
+    if data[:4] in (b"\xfe\xed\xfe\xed", b"\xce\xce\xce\xce"):
+        return ("jks" if data[0] == 0xFE else "jceks") if _store(data) else None
+    if data[0] & 0x80:
+        return "pgp" if _pgp(data) else None
+    if data[0] != 0x30:
         return None
     outer = _der(data)
     if not outer or len(outer) != 1:
         return None
     parts = _der(data, outer[0][1], outer[0][2])
+    if parts and [t for t, _, _ in parts] == [0x30, 0x04]:
+        kind = _der(data, parts[0][1], parts[0][2])
+        return "encrypted pkcs8" if kind and kind[0][0] == 0x06 and data[kind[0][1] : kind[0][2]].startswith(_ENCRYPTION) else None
     if not parts or parts[0][0] != 0x02:
         return None
     version = data[parts[0][1] : parts[0][2]]
@@ -162,8 +286,8 @@ def _mixed(s: str) -> bool:
     return turns >= max(3, len(s) // 6) and (up > 0 and low > 0 or len(s) >= 24)
 
 
-def _is_secret(value: str, quoted: bool, name: str = "", strict: bool = False) -> bool:
-    """Whether a literal beside a credential's name is one; ``strict``: where prose could stand, it must hold a digit or odd case."""
+def _is_secret(value: str, quoted: bool, name: str = "", strict: bool = False, word: bool = False) -> bool:
+    """Whether a literal beside a credential's name is one; ``strict``: where prose could stand, it must hold a digit or odd case; ``word``: a plain word may be one."""
     v = value.strip()
     if len(v) < 5 or _STANDIN.match(v) or _REFERENCE.search(v) or _DIGEST.match(v):
         return False
@@ -176,6 +300,8 @@ def _is_secret(value: str, quoted: bool, name: str = "", strict: bool = False) -
         return False
     if not any(c.isalnum() for c in v):
         return False
+    if word and not strict and _CHOSEN.search(name) and regex.fullmatch(r"[a-z]{6,}|[a-z]{4,}\d{1,2}", v):
+        return True
     if any(c.isdigit() for c in v):
         if v.replace(".", "").replace("-", "").isdigit():
             return quoted and len(v) >= 6 and not strict
@@ -186,14 +312,34 @@ def _is_secret(value: str, quoted: bool, name: str = "", strict: bool = False) -
     return quoted and not strict and len(v) >= 8 and not regex.fullmatch(r"[\w.\-/:]+", v) and " " not in v
 
 
+def _drawn(v: str) -> bool:
+    """Whether a literal that nothing names looks like a credential of its own: drawn at random, or words with signs and digits."""
+    if _STANDIN.match(v) or _REFERENCE.search(v) or _DIGEST.match(v) or "(" in v or "://" in v or v.startswith(("/", "./", "#")):
+        return False
+    if regex.fullmatch(r"[0-9a-f]{32,}", v) or _mixed(v):
+        return True
+    if regex.fullmatch(r"[A-Za-z]{12,}", v):
+        return _odd_case(v) and sum(a.isupper() != b.isupper() for a, b in zip(v, v[1:])) >= len(v) // 3
+    return bool(regex.fullmatch(r"[A-Za-z]+(?:[_-][A-Za-z]+)*[!#%*+$&@^]\d{2,}|[A-Za-z]+\d{2,}[!#%*+$&@^]|[a-z]+-[a-z]+-\d{3,}", v))
+
+
 def _odd_case(s: str) -> bool:
     """Letters of both cases that aren't words in camel or Pascal case."""
     return not s.islower() and not s.isupper() and not _CAMEL.fullmatch(s)
 
 
 def _printable(data: bytes) -> str | None:
+    """The text that the bytes are in UTF-8, or in UTF-16 where every other one of many is zero or a mark leads."""
+    code = "utf-8"
+    if len(data) >= 4 and len(data) % 2 == 0:
+        if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
+            code = "utf-16"
+        elif data[1::2].count(0) > 0.8 * len(data) / 2:
+            code = "utf-16-le"
+        elif data[::2].count(0) > 0.8 * len(data) / 2:
+            code = "utf-16-be"
     try:
-        s = data.decode("utf-8")
+        s = data.decode(code)
     except UnicodeDecodeError:
         return None
     return s if s and sum(c.isprintable() or c in "\r\n\t" for c in s) >= 0.97 * len(s) else None
@@ -215,7 +361,8 @@ def _layers(s: str) -> Iterator[tuple[str, str | bytes]]:
     elif len(s) >= 12 and regex.fullmatch(r"[A-Za-z0-9+/_\-\s]+={0,2}", s) and (data := _b64("".join(s.split()))) is not None:
         yield "base64", _printable(data) or data
     if "%" in s and regex.search(r"%[0-9a-fA-F]{2}", s):
-        data = regex.sub(rb"%([0-9a-fA-F]{2})", lambda m: bytes([int(m.group(1), 16)]), s.encode())
+        # %2541 stands for %41: signs that were encoded several times come back in one step
+        data = regex.sub(rb"%(?:25)*([0-9a-fA-F]{2})", lambda m: bytes([int(m.group(1), 16)]), s.encode("utf-8", "surrogatepass"))
         if t := _printable(data):
             yield "percent", t
     if "\\" in s or "&#" in s:
@@ -224,15 +371,17 @@ def _layers(s: str) -> Iterator[tuple[str, str | bytes]]:
             yield "escape", t
 
 
-def _hides(s: str, depth: int = 0) -> bool:
-    """Whether a literal without a name decodes, by any layers, to a key container or a text that holds a credential."""
-    for _, inner in _layers(s):
-        if isinstance(inner, bytes):
-            if container(inner):
-                return True
-        elif inner != s and (find(inner, ".txt", depth + 1) or (depth + 1 < LAYERS and len(inner) >= 20 and _hides(inner.strip(), depth + 1))):
-            return True
-    return False
+def _hides(s: str, seen: dict[str, bool]) -> bool:
+    """Whether a literal without a name decodes, by any layers, to a key container or a text that holds a credential; ``seen``: literals already tried."""
+    if s not in seen:
+        seen[s] = False
+        for _, inner in _layers(s):
+            if isinstance(inner, bytes):
+                if container(inner):
+                    seen[s] = True
+            elif len(inner) < len(s) and (find(inner, ".txt", seen) or (len(inner) >= 20 and _hides(inner.strip(), seen))):
+                seen[s] = True
+    return seen[s]
 
 
 class _Line:
@@ -347,6 +496,41 @@ def _lines(text: str, config: bool, prose: bool) -> Iterator[_Line]:
         yield _Line(text, start, end, config, prose)
 
 
+def _split_row(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Spans of the cells of a table's line, without blanks and code marks around them."""
+    out, at = [], start
+    for stop in [i for i in range(start, end) if text[i] == "|"] + [end]:
+        a, z = at, stop
+        while a < z and text[a] in " \t`*\r":
+            a += 1
+        while z > a and text[z - 1] in " \t`*\r":
+            z -= 1
+        out.append((a, z))
+        at = stop + 1
+    return out
+
+
+def _cells(text: str, ln: _Line) -> Iterator[tuple[int, int, str]]:
+    """(start, end, name) of the cells beside one that names a credential, or, in a line of headings, below it."""
+    cells = _split_row(text, ln.start, ln.end)
+    after = text.find("\n", ln.end + 1)
+    heads = _RULE.fullmatch(text, ln.end + 1, after if after >= 0 else len(text)) is not None
+    for k, (a, z) in enumerate(cells):
+        if not (m := _CELL.fullmatch(text, a, z)):
+            continue
+        if not heads:
+            if k + 1 < len(cells) and cells[k + 1][0] < cells[k + 1][1]:
+                yield *cells[k + 1], m.group("name")
+            continue
+        at = after
+        while at >= 0 and text[at + 1 : at + 2] == text[ln.start : ln.start + 1] == "|":
+            end = text.find("\n", at + 1)
+            row = _split_row(text, at + 1, len(text) if end < 0 else end)
+            if k < len(row) and row[k][0] < row[k][1]:
+                yield *row[k], m.group("name")
+            at = end
+
+
 def _block(text: str, m: regex.Match) -> tuple[int, int] | None:
     """The body of a key block that begins at m, if there is one."""
     stop = text.find("-----END", m.end())
@@ -360,10 +544,12 @@ def _block(text: str, m: regex.Match) -> tuple[int, int] | None:
     return m.end() + inner.start("key"), m.end() + inner.end("key")
 
 
-def find(text: str | None, path: str | None = None, depth: int = 0) -> list[tuple[int, list[tuple[int, int]], str]]:
-    """(start, spans to mask, kind) of each credential of a text, in order of their places."""
-    if not text or depth > LAYERS:
+def find(text: str | None, path: str | None = None, seen: dict[str, bool] | None = None) -> list[tuple[int, list[tuple[int, int]], str]]:
+    """(start, spans to mask, kind) of each credential of a text, in order of their places; ``seen`` is given for the decoded layers of a literal."""
+    if not text:
         return []
+    outermost = seen is None
+    seen = {} if seen is None else seen
     path = path or ".txt"
     config, prose = bool(_CONFIG.search(path)), bool(_PROSE.search(path))
     out: list[tuple[int, list[tuple[int, int]], str]] = []
@@ -431,13 +617,16 @@ def find(text: str | None, path: str | None = None, depth: int = 0) -> list[tupl
                 if free(base + v.start(), base + v.end()) and _is_secret(v.group(), False, strict=True):
                     add([(base + v.start(), base + v.end())], "header")
         for rule in (_ASSIGN, _CALL):
-            at = 0
+            at, known = 0, (0, 0)
             while m := rule.search(s, at):
                 at = max(m.end(), m.start() + 1)
                 op = m.group("op").lower()
                 first = m.start("name")
-                while first > 0 and m.start("name") - first < 80 and (s[first - 1].isalnum() or s[first - 1] in "_.$-"):
+                while first > known[1] and (s[first - 1].isalnum() or s[first - 1] in "_.$-"):
                     first -= 1
+                if first == known[1] > 0:  # the identifier of the hit before goes on
+                    first = known[0]
+                known = (first, m.end("name"))
                 name = s[first : m.end("name")]
                 if _BAD_PREFIX.match(name) or regex.search(r"(?:^|[_\-.])(?:public|cache|hashed)[_\-]?(?:api)?[_\-]?key", name, regex.I):
                     continue
@@ -458,13 +647,14 @@ def find(text: str | None, path: str | None = None, depth: int = 0) -> list[tupl
                 if decoded or (secret_kind and not quoted):
                     plain = next((t for _, t in _layers(v) if isinstance(t, str)), None)
                     if plain is not None:
-                        if (_is_secret(plain, True, name) or find(plain, ".txt", depth + 1) or _hides(plain.strip(), depth + 1)) and not _STANDIN.match(plain):
+                        if (_is_secret(plain, True, name) or find(plain, ".txt", seen) or _hides(plain.strip(), seen)) and not _STANDIN.match(plain):
                             add(spans, "encoded value")
                         continue
                     if decoded and "(" in s[m.end() : m.end() + 40] and not v:
                         continue
                 unquoted_prose = not quoted and (prose or ln.comment) and not config
-                if ("-----BEGIN" in v) or not _is_secret(v, quoted, name, strict=unquoted_prose or op in ("is", "ist", "es", "est")):
+                word = rule is _ASSIGN and (quoted and op in ("=", ":=", ":", "=>") or not quoted and op == "=" and regex.match(r"\s*(?:export\s+)?[\w.]+=\S+\s*$", s) is not None)
+                if ("-----BEGIN" in v) or not _is_secret(v, quoted, name, strict=unquoted_prose or op in ("is", "ist", "es", "est"), word=word):
                     continue
                 add(spans, "named value")
         for m in _SQL.finditer(s):
@@ -473,6 +663,40 @@ def find(text: str | None, path: str | None = None, depth: int = 0) -> list[tupl
         for m in _LOGIN.finditer(s):
             if (got := ln.value(m.end(), "login")) and free(*got[1][0]) and _is_secret(got[0], True):
                 add(got[1], "login")
+        for m in _ACCOUNT_CALL.finditer(s):
+            before = [next(x for x in g.groups() if x is not None) if any(g.groups()) else "" for g in _ARGUMENT.finditer(m.group("args"))]
+            got = ln.value(m.end(), "login")
+            if not got or not free(*got[1][0]) or not regex.fullmatch(r"[\w.@+\-]{2,60}", before[-1]) or _ENCODING.fullmatch(got[0]):
+                continue
+            whole = regex.compile(r"[bruf]?[\"'`]{1,3}\s*[\])]", regex.I).match(text, got[1][-1][1])  # the last argument
+            host = len(before) > 1 and _HOST.fullmatch(before[-2])
+            if whole and (host or not m.group("fn").lower().endswith(("open", "dial", "attach", "connect"))) and len(got[0]) >= 6 and not any(c.isspace() for c in got[0]) and (_is_secret(got[0], True) or _drawn(got[0])):
+                add(got[1], "login")
+        for m in _LOGIN_AS.finditer(s):
+            v, a, z = m.group("value"), base + m.start("value"), base + m.end("value")
+            quoted = v[:1] in ("`", '"', "'")
+            if quoted:
+                v, a, z = v[1:-1], a + 1, z - 1
+            if free(a, z) and not any(c.isspace() for c in v) and (_is_secret(v, quoted, strict=not quoted) or _drawn(v)):
+                add([(a, z)], "login")
+        for rule in _SHELL:
+            for m in rule.finditer(s):
+                v, a, z = m.group("value"), base + m.start("value"), base + m.end("value")
+                if v[:1] in ('"', "'"):
+                    v, a, z = v[1:-1], a + 1, z - 1
+                if v and free(a, z) and _is_secret(v, True, word=True, name="password"):
+                    add([(a, z)], "option")
+        if ln.comment and (m := _LEFTOVER.search(s)):
+            take(m, "value", "leftover", test=_drawn)
+        if "<" in s:
+            for rule in (_ELEMENT, _ATTRIBUTE):
+                for m in rule.finditer(s):
+                    g = "value" if m.group("value") else "value2"
+                    take(m, g, "named value", test=lambda v: _is_secret(v, True, m.group("name"), word=True))  # noqa: B023
+        if "|" in s and (prose or ln.comment):
+            for a, z, name in _cells(text, ln):
+                if free(a, z) and _is_secret(text[a:z], True, name, strict=not _CHOSEN.search(name), word=True):
+                    add([(a, z)], "table cell")
         for rule, kind in ((_PROSE_LOGIN, "login"), (_NETRC, "login"), (_ENV, "named value"), (_USERPASS, "login"), (_OPTION, "option")):
             for m in rule.finditer(s):
                 take(m, "value", kind, strict=kind == "option", quoted=kind == "login")
@@ -490,16 +714,15 @@ def find(text: str | None, path: str | None = None, depth: int = 0) -> list[tupl
                 if got and free(*got[1][0]) and _is_secret(got[0], got[2], m.group("name")):
                     add(got[1], "named value")
         # literals without a name that hide something
-        if depth < LAYERS:
-            for rule in (_LITERAL64, _LITERAL16, _PERCENT, _ESCAPE):
-                for m in rule.finditer(s):
-                    v, a, z = m.group(), base + m.start(), base + m.end()
-                    if (rule is not _LITERAL64 or any(c.isdigit() or c == "=" for c in v)) and free(a, z) and not _DIGEST.match(s[max(0, m.start() - 7) : m.end()]) and _hides(v, depth):
-                        add([(a, z)], "encoded literal")
+        for rule in (_LITERAL64, _LITERAL16, _PERCENT, _ESCAPE):
+            for m in rule.finditer(s):
+                v, a, z = m.group(), base + m.start(), base + m.end()
+                if (rule is not _LITERAL64 or any(c.isdigit() or c == "=" for c in v)) and free(a, z) and not _DIGEST.match(s[max(0, m.start() - 7) : m.end()]) and _hides(v, seen):
+                    add([(a, z)], "encoded literal")
     if "PuTTY-User-Key-File" in text:
         for m in regex.finditer(r"PuTTY-User-Key-File-\d:[\s\S]*?Private-Lines: \d+\s+(?P<key>[A-Za-z0-9+/=\s]+)", text):
             add([m.span("key")], "key block", m.start())
-    if depth == 0 or "\n" in text:
+    if outermost or "\n" in text:
         out += _bare_containers(text, taken)
     return sorted(out, key=lambda f: f[0])
 

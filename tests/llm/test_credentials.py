@@ -79,7 +79,7 @@ def test_case(path, text, case):
 
 def test_containers_by_grammar():
     assert S.container(PKCS1) == "pkcs1" and S.container(PKCS8) == "pkcs8" and S.container(PUBLIC) is None
-    assert S.container(b"openssh-key-v1\0abc") == "openssh" and S.container(PKCS8[:-1]) is None and S.container(b"") is None
+    assert S.container(b"openssh-key-v1\0abc") is None and S.container(PKCS8[:-1]) is None and S.container(b"") is None
     assert S.container(der(0x30, der(2, b"\1"), der(4, b"k" * 32), der(0xA0, der(6, b"\x2a")))) == "sec1"
 
 
@@ -121,7 +121,7 @@ PEM = "-----BEGIN PRIVATE KEY-----\n" + "\n".join(base64.b64encode(LARGE).decode
 
 
 @pytest.mark.parametrize("before,after", [("", ""), ("a=b;" * 2000 + 'k("', '");' + "c(d);" * 2000)])
-@pytest.mark.parametrize("secret", [LARGE, PEM.encode(), b"openssh-key-v1\0" + LARGE])
+@pytest.mark.parametrize("secret", [LARGE, PEM.encode(), b"openssh-key-v1\0" + b"\0\0\0\4none\0\0\0\4none\0\0\0\0\0\0\0\1\0\0\0\3key" + len(LARGE).to_bytes(4, "big") + LARGE])
 def test_long_literals_are_masked_whole(before, after, secret):
     """A key of more than 3,000 characters in base64, alone on its line or within a long one."""
     literal = base64.b64encode(secret).decode()
@@ -146,3 +146,97 @@ def test_rows(spark):
     masked = {r.chunk_id: r for r in S.redact(df).collect()}
     assert masked["a"].credentials == 2 and "hunter" not in masked["a"].content and set(masked) == {"a", "d"}
     assert S.credential_lines(df.limit(0)).collect() == []
+
+
+def field(data, width=4):
+    return len(data).to_bytes(width, "big") + data
+
+
+OPENSSH = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + b"\0\0\0\1" + field(RANDOM.randbytes(51)) + field(RANDOM.randbytes(150))
+CERTIFICATE = b"\0\0\0\2" + field(b"root", 2) + bytes(8) + field(b"X.509", 2) + field(RANDOM.randbytes(90))
+PRIVATE_ENTRY = b"\0\0\0\1" + field(b"mine", 2) + bytes(8) + field(der(0x30, RANDOM.randbytes(80))) + b"\0\0\0\0"
+ENCRYPTED = der(0x30, der(0x30, der(6, bytes.fromhex("2a864886f70d01050d")), der(0x30)), der(4, RANDOM.randbytes(120)))
+PGP_BODY = b"\4" + bytes(4) + b"\1" + RANDOM.randbytes(90)
+
+
+def store(mark, *entries):
+    return mark + b"\0\0\0\2" + len(entries).to_bytes(4, "big") + b"".join(entries) + RANDOM.randbytes(20)
+
+
+@pytest.mark.parametrize(
+    ("data", "kind"),
+    [
+        (OPENSSH, "openssh"),
+        (b"openssh-key-v1\0" + RANDOM.randbytes(200), None),
+        (store(b"\xfe\xed\xfe\xed", CERTIFICATE, PRIVATE_ENTRY), "jks"),
+        (store(b"\xfe\xed\xfe\xed", CERTIFICATE, CERTIFICATE), None),
+        (store(b"\xce\xce\xce\xce", CERTIFICATE, b"\0\0\0\3" + field(b"k", 2) + bytes(8) + b"\xac\xed\0\5" + bytes(40)), "jceks"),
+        (ENCRYPTED, "encrypted pkcs8"),
+        (der(0x30, der(0x30, der(6, b"\x2a\x86\x48"), der(0x30)), der(4, bytes(120))), None),
+        (b"\x95" + len(PGP_BODY).to_bytes(2, "big") + PGP_BODY + b"\xb4\4name", "pgp"),
+        (b"\x99" + len(PGP_BODY).to_bytes(2, "big") + PGP_BODY, None),
+        (PUBLIC, None),
+    ],
+)
+def test_grammars(data, kind):
+    assert S.container(data) == kind
+
+
+@pytest.mark.parametrize(
+    ("path", "text", "lines"),
+    [
+        ("a.xml", "<server>\n  <password>Marble77desk</password>\n  <passwordMinLength>12</passwordMinLength>\n</server>", [1]),
+        ("a.xml", '<add key="db.password" value="Marble77desk"/>\n<add key="title" value="Marble77desk"/>', [0]),
+        ("a.xml", '<property name="smtp.password">Marble77desk</property>', [0]),
+        ("a.md", "| password | `Marble77desk` |", [0]),
+        ("a.md", "| host | password |\n| --- | --- |\n| a.test | Marble77desk |\n| b.test | <password> |\n| c.test | tunnel88-fox |", [2, 4]),
+        (".env", "DB_PASSWORD=letmein\nPASSWORD_POLICY=strict\nLOGIN_PASSWORD=changeme", [0]),
+        ("a.py", 'password = "hunter2"', [0]),
+        ("a.go", 'req.SetBasicAuth("app", "Gr4v3l_Rain68")', [0]),
+        ("a.py", "f = open('data.csv', 'rb', 'utf-16')", []),
+        ("a.js", "await open('db.test', 'root', 'C4ctus_lamp52');", [0]),
+        ("a.sh", "mysql -h db.test -u app -p'M4rbl3_Rain10' shop\nmysql -h db.test -u app -p shop\nmysql -u app -p\"$PW\" shop", [0]),
+        ("a.sh", "sshpass -p 'thistle-desk-171' ssh a@b.test", [0]),
+        ("a.md", "On staging log in as `root` with `xGPoTZRTRqT3c`.\nPlease log in as `root` with your own password.", [0]),
+        ("a.py", "# TODO remove: C4ctus_Hill83\n# TODO remove: old_parser_v2\n# TODO remove: parseAllNodes", [0]),
+        ("a.txt", "blob: " + base64.b64encode("export DB_PASSWORD=Tunnel77lamp".encode("utf-16-le")).decode(), [0]),
+    ],
+)
+def test_forms(path, text, lines):
+    assert sorted({text.count("\n", 0, start) for start, _, _ in S.find(text, path)}) == lines
+
+
+def layered(text, layers):
+    for k in range(layers):
+        text = (lambda t: base64.b64encode(t.encode()).decode(), lambda t: t.encode().hex(), lambda t: "".join(f"%{b:02x}" for b in t.encode()), lambda t: "".join(f"\\x{b:02x}" for b in t.encode()))[k % 4 if k < 4 else 0](text)
+    return text
+
+
+@pytest.mark.parametrize("layers", [1, 2, 4, 6, 8, 12])
+def test_layers_of_any_number(layers):
+    text = f'x = "{layered("export DB_PASSWORD=Tunnel77lamp", layers)}"'
+    assert len(S.find(text, "a.py")) == 1
+    assert S.mask(text, S.find(text, "a.py")) == 'x = "' + "*" * (len(text) - 6) + '"'
+
+
+def test_percent_of_percent():
+    inner = "".join(f"%{b:02x}" for b in b"export DB_PASSWORD=Tunnel77lamp")
+    for _ in range(9):
+        inner = inner.replace("%", "%25")
+    assert len(S.find(f'x = "{inner}"', "a.py")) == 1
+
+
+@pytest.mark.parametrize("size", [3_000, 50_000, 1_000_000])
+@pytest.mark.parametrize("quoted", [True, False])
+def test_literals_of_any_length(size, quoted):
+    """A key in the middle of a long encoded text, alone on its line or in quotes."""
+    rest = "plain words of a text " * (size // 60)
+    encoded = base64.b64encode(f"{rest}\nexport DB_PASSWORD=Tunnel77lamp\n{rest}".encode()).decode()
+    text = f'a = 1\nx = "{encoded}"\nb = 2' if quoted else f"a = 1\n{encoded}\nb = 2"
+    found = S.find(text, "a.py")
+    assert [text[a:z] for _, spans, _ in found for a, z in spans] == [encoded]
+
+
+def test_names_of_any_length():
+    text = "x_" * 200_000 + "password = 'Tunnel77lamp'; " + "my_password_" * 20_000 + "x = 1"
+    assert len(S.find(text, "a.js")) == 1
