@@ -37,14 +37,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, *by: str) -> str:
-    """Write ``df`` as Parquet into a new folder beside the checkpoints, one subfolder per value of ``by``; the folder's address."""
-    ensure_checkpoint_dir(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "none").partitionBy(*by).parquet(path)
+def written(df: DataFrame, *by: str, compression: str = "none") -> str:
+    """Write ``df`` as Parquet into a new folder beside the checkpoints, one subfolder per value of ``by``; the folder's address.
+
+    The folder goes when the application ends.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", compression).partitionBy(*by).parquet(path)
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
     return path
 
 
+def kept(df: DataFrame, compression: str = "zstd") -> DataFrame:
+    """``df`` written once into the shared folder and read from there, so that each use reads only the columns it needs."""
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, compression=compression))
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it is proven to have at most ``rows`` rows, else as it is."""
+    """``df`` marked for broadcast if it is proven to have at most ``rows`` rows, else as it is.
+
+    The count evaluates ``df`` once more: give it a cut or a cheap input.
+    """
     return F.broadcast(df) if len(df.select(F.lit(1)).limit(rows + 1).take(rows + 1)) <= rows else df
