@@ -63,7 +63,7 @@ def rows(spark):
     docs = []
     for i in range(60):
         own = LAW if i % 2 else FARM
-        docs.append((i, f"s{i % 3}", " ".join([own[i % 4], own[(i + 1) % 4], PLAIN[i % 4]]), "guide", None, "x"))
+        docs.append((i, f"s{i % 3}", " ".join([own[i % 4], own[(i + 1) % 4], PLAIN[i // 2 % 4]]), "guide", None, "x"))
     docs += [(100, "s0", None, "guide", None, "x"), (101, "s0", "", "guide", None, "x"), (102, None, " ".join(PLAIN), "guide", None, "x"), (103, "s0", " ".join([*LAW, *LAW, *LAW, FARM[0]]), "guide", None, "x"), (104, "s0", " ".join([LAW[0], FARM[0]]), "issue", None, "x"), (None, "s0", LAW[0], "guide", None, "x")]
     docs += docs[:2]
     code = "// The plaintiff asked the tribunal for a verdict.\nfunction fileAffidavit(bailiff, notaryRecord) {\n  return subpoena(bailiff);\n}\n"
