@@ -1,12 +1,16 @@
 """Problem 4: label files as handwritten, generated, minified, vendored or blob by belief propagation over directory trees.
 
 Each chunk gives counts (lines that are packed, that are literal data, that carry on the numbers of a line of the same shape) and marks found in comments. Marks in the run of comments and
-imports a file begins with, however long it is, count in full; those further down weigh little. All are added up by file and, with the path, become the log evidence of the five labels. Names of libraries are learned from the banners and paths
-of the whole corpus. Then sum-product belief propagation runs on the tree of each source: files and directories are nodes, an edge favours equal
-labels, one upward and one downward sweep by depth give exact marginals. Siblings act on each other through their directory.
+imports a file begins with, however long it is, count in full; those further down weigh little. All are added up by file and, with the path, become a
+pattern of marks, which has a first belief in the five labels. Names of libraries are learned from the banners and paths of the whole corpus.
 
-Work per sweep level is one aggregation or join over directories, keyed by source and directory, so neither a large source nor a large
-directory lands in one task: file messages are added up map-side before the shuffle.
+Sum-product belief propagation runs on the tree of each source: files and directories are nodes, and one upward and one downward sweep by depth give exact marginals, so
+siblings act on each other through their directory. From the marginals the model is learned by expectation maximisation: how likely each label is with each pattern, and
+how often a file of each label stands in a directory of each; then the sweeps run again, ``ROUNDS`` times. A pattern that says little, as that of
+a file without content, thereby leaves the word to the neighbours, as far as these are alike in the corpus.
+
+Work per sweep level is one aggregation or join over directories, keyed by source and directory. Messages of files are added up map-side before the
+shuffle; on the way back the files of a directory with more than ``HOT_FILES`` are dealt over several keys, as are path words in many paths.
 
 Cases: files without chunks are judged by path and neighbours alone; null or empty contents count nothing; a null path is a file in the root;
 repeated rows and older versions of a file are one file; chunks without a row in files give no row; extra columns are ignored.
@@ -17,18 +21,28 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinflow.functions.session import cut
+from skeinflow.functions.session import cut, small
 
 LABELS = ("handwritten", "generated", "minified", "vendored", "blob")
-#: log prior of the labels and log compatibility of equal against unequal labels of parent and child.
+#: log prior of the labels, and log compatibility of equal against unequal labels of a directory and one in it, and (at first) of a directory and its file.
 PRIOR = (0.0, -2.2, -2.2, -2.2, -2.2)
 SAME, OTHER = math.log(0.52), math.log(0.12)
+LIKE, UNLIKE = math.log(0.9), math.log(0.025)
+N = len(LABELS)
+#: First beliefs are softened by this; they count as so many files of each pattern, and as so many edges.
+SOFT, PSEUDO, EDGES = 1.0, 5.0, 20.0
+#: Rounds of learning; levels of the tree between cuts of the plan; files of a directory beyond which they are dealt over several keys; keys of a hot name.
+ROUNDS, LEVELS, HOT_FILES, SALTS = 2, 4, 1_000_000, 32
+#: Patterns up to which they are broadcast (56 bytes each).
+PATTERNS = 500_000
 #: Files whose banner or container names a library at least this often make it a known library.
 LIBRARY_FILES = 2
 
@@ -286,8 +300,27 @@ def file_features(chunks: DataFrame) -> DataFrame:
     )
 
 
-def _log_evidence(known: Column) -> list[Column]:
-    """Log evidence of the labels, from columns of path and features."""
+#: Columns of evidence: one mark a bit.
+class _Marks:
+    """Scores of the labels by marks, which are also numbered as the bits of a file's pattern."""
+
+    def __init__(self) -> None:
+        self.bits: list[Column] = []
+
+    def score(self, *terms: tuple[Column, float]) -> Column:
+        out = F.lit(0.0)
+        for when, weight in terms:
+            held = F.coalesce(when, F.lit(False))
+            self.bits.append(held)
+            out = out + F.when(held, F.lit(weight)).otherwise(F.lit(0.0))
+        return out
+
+    def pattern(self) -> Column:
+        return sum((F.shiftleft(b.cast("long"), i) for i, b in enumerate(self.bits)), F.lit(0).cast("long"))
+
+
+def _beliefs(known: Column) -> tuple[Column, list[Column]]:
+    """(pattern of marks, first beliefs in the labels as logs), from columns of path and features."""
     path = F.lower(F.coalesce("file_path", F.lit("")))
     has = F.coalesce(F.col("chars"), F.lit(0.0)) > 0
 
@@ -297,16 +330,11 @@ def _log_evidence(known: Column) -> list[Column]:
     def flag(c: str) -> Column:
         return F.coalesce(F.col(c), F.lit(0))
 
-    def score(*terms: tuple[Column, float]) -> Column:
-        out = F.lit(0.0)
-        for when, weight in terms:
-            out = out + F.when(when, F.lit(weight)).otherwise(F.lit(0.0))
-        return out
-
+    marks = _Marks()
     code, prose, lock = path.rlike(_CODE), path.rlike(_PROSE), path.rlike(_LOCKFILE)
     key = (flag("keyed") == 1) & ~code
     banner = F.col("known_banner")
-    generated = score(
+    generated = marks.score(
         (lock, 9.0),
         ((flag("locked") == 1) & path.rlike(r"lock"), 5.0),
         ((flag("made") == 2) & ~prose, 8.0),
@@ -318,7 +346,7 @@ def _log_evidence(known: Column) -> list[Column]:
         ((share("numbered", "lines") > 0.2) & code, 2.0),
         (prose, -4.0),
     )
-    minified = score(
+    minified = marks.score(
         (path.rlike(_MINIFIED_PATH), 3.0),
         ((share("packed") > 0.6) & code, 7.0),
         ((share("packed") > 0.35) & code, 2.0),
@@ -326,7 +354,7 @@ def _log_evidence(known: Column) -> list[Column]:
         (has & (share("packed") < 0.2) & (share("escaped") < 0.05), -5.0),
         (~code, -6.0),
     )
-    vendored = score(
+    vendored = marks.score(
         (known & path.rlike(_VENDOR_PATH), 4.5),
         (path.rlike(_VENDOR_PATH), 2.5),
         (known & ~path.rlike(_VENDOR_PATH), 3.5),
@@ -336,19 +364,19 @@ def _log_evidence(known: Column) -> list[Column]:
         ((flag("copied") == 0) & (flag("copied_low") > 0) & code & F.col("known_low"), 1.5),
         (prose & ~path.rlike(_VENDOR_PATH), -4.0),
     )
-    blob = score(
+    blob = marks.score(
         ((share("data") > 0.55) & ~prose & ~key, 7.0),
         ((share("data") > 0.4) & ~prose & ~key, 2.0),
         (path.rlike(_DATA_PATH) & code & (share("data") > 0.3), 1.5),
         (has & (share("data") < 0.25), -5.0),
         (key | ~code, -5.0),
     )
-    hand = score((prose, 3.0), (key, 6.0), (~key & (flag("keyed_low") == 1) & ~code, 1.5), (has & (share("packed") < 0.05) & (share("data") < 0.05) & (flag("made") == 0) & (flag("copied") == 0) & ~lock, 2.0))
-    return [c + F.lit(p) for c, p in zip((hand, generated, minified, vendored, blob), PRIOR)]
+    hand = marks.score((prose, 3.0), (key, 6.0), (~key & (flag("keyed_low") == 1) & ~code, 1.5), (has & (share("packed") < 0.05) & (share("data") < 0.05) & (flag("made") == 0) & (flag("copied") == 0) & ~lock, 2.0))
+    return marks.pattern(), [c + F.lit(p) for c, p in zip((hand, generated, minified, vendored, blob), PRIOR)]
 
 
 def evidence(files: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(id, source_id, dir, e0..e4) of each file; lock files speak for themselves alone (``loud`` false)."""
+    """(id, source_id, dir, pattern, e0..e4) of each file: the marks it shows, and the first beliefs they give."""
     features = cut(file_features(chunks))
     path = F.coalesce("file_path", F.lit(""))
     base = files.select("id", "source_id", "file_path").filter(F.col("id").isNotNull()).groupBy("id").agg(F.min("source_id").alias("source_id"), F.min("file_path").alias("file_path"))
@@ -357,6 +385,7 @@ def evidence(files: DataFrame, chunks: DataFrame) -> DataFrame:
     from_below = features.filter((F.col("copied_low") > 0) & F.col("library").isNull()).select(F.col("library_low").alias("name"), F.lit(0.5).alias("w"))
     from_path = base.select(F.lower(F.regexp_extract(path, _CONTAINER, 1)).alias("name"), F.lit(1.0).alias("w"))
     names = from_banner.unionByName(from_below).unionByName(from_path).filter(F.length("name") > 2).groupBy("name").agg(F.sum("w").alias("n")).filter(F.col("n") >= LIBRARY_FILES).select("name")
+    names = cut(names)
     lower = F.lower(path)
     parts = F.concat(
         F.slice(F.split(lower, "/"), 1, F.greatest(F.size(F.split(lower, "/")) - 1, F.lit(0))),
@@ -364,7 +393,8 @@ def evidence(files: DataFrame, chunks: DataFrame) -> DataFrame:
     )
     # directory names like name-1.2.3 count as the name
     parts = F.transform(parts, lambda x: F.regexp_replace(x, r"-\d+\.\d+[\w.]*$", ""))
-    known = base.select("id", F.explode(F.array_distinct(parts)).alias("name")).filter(F.length("name") > 2).join(names, "name", "left_semi").select("id").distinct().withColumn("known", F.lit(True))
+    words = base.select("id", F.explode(F.array_distinct(parts)).alias("name")).filter(F.length("name") > 2)
+    known = _named(words, names).select("id").distinct().withColumn("known", F.lit(True))
     said = features.select("source_id", "file_path", F.coalesce("library", "library_low").alias("name"), F.col("library").isNotNull().alias("banner"))
     banners = said.join(names, "name", "left_semi").select(F.col("source_id").alias("s"), F.col("file_path").alias("p"), "banner")
     joined = (
@@ -377,20 +407,47 @@ def evidence(files: DataFrame, chunks: DataFrame) -> DataFrame:
     )
     segments = F.split(path, "/")
     folder = F.array_join(F.slice(segments, 1, F.greatest(F.size(segments) - 1, F.lit(0))), "/")
-    scores = _log_evidence(F.coalesce("known", F.lit(False)))
-    return joined.select("id", F.coalesce("source_id", F.lit("")).alias("source_id"), folder.alias("dir"), (~F.lower(path).rlike(_LOCKFILE)).alias("loud"), *(s.alias(f"e{i}") for i, s in enumerate(scores)))
+    pattern, scores = _beliefs(F.coalesce("known", F.lit(False)))
+    return joined.select("id", F.coalesce("source_id", F.lit("")).alias("source_id"), folder.alias("dir"), pattern.alias("pattern"), *(s.alias(f"e{i}") for i, s in enumerate(scores)))
+
+
+def _named(words: DataFrame, names: DataFrame) -> DataFrame:
+    """The rows of ``words`` whose name is in ``names``: by broadcast of a few names, else by salted names, as a path word like "src" may be in most rows."""
+    if (few := small(names)) is not names:
+        return words.join(few, "name", "left_semi")
+    salted = names.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return words.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["name", "salt"], "left_semi").drop("salt")
+
+
+class Model(NamedTuple):
+    """What is learned: of each pattern the log probability of the labels; of directories the log share of the labels; the log weight of each pair of labels of a directory and its file, and of two directories."""
+
+    patterns: DataFrame | None
+    folders: np.ndarray
+    edges: np.ndarray
+    tree: np.ndarray
+
 
+def first_model() -> Model:
+    """Beliefs to begin with: a file is mostly like its directory, and no label of a directory is likelier than another."""
+    same = np.eye(N, dtype=bool)
+    return Model(None, np.zeros(N), np.where(same, LIKE, UNLIKE), np.where(same, SAME, OTHER))
 
-def _send(state: list[Column]) -> list[Column]:
-    """The message over an edge: log of the sum over the sender's labels, whose greatest counts as 1."""
+
+def _send(state: list[Column], edges: np.ndarray) -> list[Column]:
+    """The message over an edge: of each label of the receiver the log of the sum over the sender's, whose greatest counts as 1."""
     top = F.greatest(*state)
     mass = [F.exp(s - top) for s in state]
-    total = sum(mass[1:], mass[0])
-    return [F.log(total * math.exp(OTHER) + m * (math.exp(SAME) - math.exp(OTHER))) for m in mass]
+    weight = np.exp(edges)
+    return [F.log(sum((m * float(weight[x, y]) for x, m in enumerate(mass[1:], 1)), mass[0] * float(weight[0, y]))) for y in range(N)]
 
 
 def _cols(prefix: str) -> list[Column]:
-    return [F.col(f"{prefix}{i}") for i in range(len(LABELS))]
+    return [F.col(f"{prefix}{i}") for i in range(N)]
+
+
+def _named_as(prefix: str, columns: list[Column]) -> list[Column]:
+    return [c.alias(f"{prefix}{i}") for i, c in enumerate(columns)]
 
 
 def _parent(depth: int) -> Column:
@@ -398,48 +455,137 @@ def _parent(depth: int) -> Column:
     return F.when(F.instr("dir", "/") > 0, F.substring_index("dir", "/", depth - 1)).otherwise(F.lit(""))
 
 
-def propagate(files: DataFrame) -> DataFrame:
-    """``files`` (id, source_id, dir, loud, e0..e4) with the marginals p0..p4 and the label."""
-    n = range(len(LABELS))
-    told = files.select("id", "source_id", "dir", *(F.when(F.col("loud"), m).otherwise(F.lit(0.0)).alias(f"m{i}") for i, m in enumerate(_send(_cols("e")))), *_cols("e"))
+def _beside(rows: DataFrame, states: DataFrame, hot: DataFrame) -> DataFrame:
+    """``rows`` with the state of their directory (ps, pd, ..); the files of a hot directory are dealt over several keys."""
+    keyed = rows.join(hot.select(F.col("source_id").alias("hs"), F.col("dir").alias("hd"), "salts"), (F.col("source_id") == F.col("hs")) & (F.col("dir") == F.col("hd")), "left")
+    keyed = keyed.withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.col("salts"))).cast("int")).drop("hs", "hd", "salts")
+    wide = states.join(hot.select(F.col("source_id").alias("hs"), F.col("dir").alias("hd"), "salts"), (F.col("ps") == F.col("hs")) & (F.col("pd") == F.col("hd")), "left")
+    wide = wide.withColumn("ns", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts") - 1, F.lit(0)).cast("int")))).drop("hs", "hd", "salts")
+    return keyed.join(wide, (F.col("source_id") == F.col("ps")) & (F.col("dir") == F.col("pd")) & (F.col("salt") == F.col("ns"))).drop("ps", "pd", "ns", "salt")
+
+
+def hot_folders(files: DataFrame) -> DataFrame:
+    """(source_id, dir, salts) of the directories with more than ``HOT_FILES`` files, of which there are few."""
+    by = files.groupBy("source_id", "dir").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_FILES)
+    return small(cut(by.select("source_id", "dir", F.ceil(F.col("n") / HOT_FILES).cast("int").alias("salts"))))
+
+
+def propagate(files: DataFrame, model: Model, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``files`` (id, source_id, dir, pattern, e0..e4) with the number of files of their directory, s0..s4, what it has heard from all others, and b0..b4, the log beliefs of the labels (not yet scaled);
+    and of each pair of directories s0..s4 and e0..e4, what the upper one has heard from elsewhere and the lower one from below.
+
+    Levels of the tree are steps of one plan, which is cut every ``LEVELS`` of them.
+    """
+    n = range(N)
+    root = [F.lit(float(x)) for x in model.folders]
+    told = files.select("id", "source_id", "dir", "pattern", *_named_as("m", _send(_cols("e"), model.edges.T)), *_cols("e"))
     # upward: what each directory hears from its files and directories, from the deepest level to the root
-    direct = cut(told.groupBy("source_id", "dir").agg(*(F.sum(f"m{i}").alias(f"a{i}") for i in n)).withColumn("depth", F.when(F.col("dir") == "", F.lit(0)).otherwise(F.size(F.split("dir", "/")))))
+    direct = cut(told.groupBy("source_id", "dir").agg(*(F.sum(f"m{i}").alias(f"a{i}") for i in n), F.count(F.lit(1)).alias("files")).withColumn("depth", F.when(F.col("dir") == "", F.lit(0)).otherwise(F.size(F.split("dir", "/")))))
     deepest = direct.agg(F.max("depth")).first()[0] or 0
     ups: list[DataFrame] = []
     from_below: DataFrame | None = None
     for depth in range(deepest, -1, -1):
-        here = direct.filter(F.col("depth") == depth).select("source_id", "dir", *_cols("a"))
+        here = direct.filter(F.col("depth") == depth).select("source_id", "dir", "files", *_cols("a"))
         if from_below is not None:
-            here = here.unionByName(from_below).groupBy("source_id", "dir").agg(*(F.sum(f"a{i}").alias(f"a{i}") for i in n))
-        # cut at each level: the next one reads it, and so does the way down
-        here = cut(here.select("source_id", "dir", *_cols("a"), *(m.alias(f"u{i}") for i, m in enumerate(_send(_cols("a"))))))
+            here = here.unionByName(from_below).groupBy("source_id", "dir").agg(F.sum("files").alias("files"), *(F.sum(f"a{i}").alias(f"a{i}") for i in n))
+        # a = all that came from below; u = the message to the directory above
+        here = here.select("source_id", "dir", "files", *_cols("a"), *_named_as("u", _send([c + r for c, r in zip(_cols("a"), root)], model.tree.T)))
+        if (deepest - depth) % LEVELS == LEVELS - 1:
+            here = cut(here)
         ups.append(here)
-        from_below = here.select("source_id", _parent(depth).alias("dir"), *(F.col(f"u{i}").alias(f"a{i}") for i in n))
+        from_below = here.select("source_id", _parent(depth).alias("dir"), F.lit(0).cast("long").alias("files"), *_named_as("a", _cols("u")))
     ups.reverse()
+    up = ups[0].withColumn("depth", F.lit(0))
+    for depth in range(1, deepest + 1):
+        up = up.unionByName(ups[depth].withColumn("depth", F.lit(depth)))
+    up = cut(up)
     # downward: each directory's full state, from the root
-    state = ups[0].select("source_id", "dir", *(F.col(f"a{i}").alias(f"s{i}") for i in n))
+    nothing = [F.lit(None).cast("double")] * N
+    state = up.filter("depth = 0").select("source_id", "dir", "files", *_named_as("s", [c + r for c, r in zip(_cols("a"), root)]), *_named_as("c", nothing), *_named_as("w", nothing))
     states = state
     for depth in range(1, deepest + 1):
-        here = ups[depth].withColumn("parent", _parent(depth))
+        here = up.filter(F.col("depth") == depth).withColumn("parent", _parent(depth))
         above = state.select(F.col("source_id").alias("ps"), F.col("dir").alias("pd"), *_cols("s"))
         joined = here.join(above, (F.col("source_id") == F.col("ps")) & (F.col("parent") == F.col("pd")))
-        down = _send([F.col(f"s{i}") - F.col(f"u{i}") for i in n])
-        state = cut(joined.select("source_id", "dir", *((F.col(f"a{i}") + d).alias(f"s{i}") for i, d in enumerate(down))))
+        cavity, own = [F.col(f"s{i}") - F.col(f"u{i}") for i in n], [F.col(f"a{i}") + root[i] for i in n]
+        down = _send(cavity, model.tree)
+        state = joined.select("source_id", "dir", "files", *_named_as("s", [o + d for o, d in zip(own, down)]), *_named_as("c", cavity), *_named_as("w", own))
+        if depth % LEVELS == 0:
+            state = cut(state)
         states = states.unionByName(state)
     # to the files: all that their directory heard but their own message
-    at = states.select(F.col("source_id").alias("ps"), F.col("dir").alias("pd"), *_cols("s"))
-    final = told.join(at, (F.col("source_id") == F.col("ps")) & (F.col("dir") == F.col("pd")))
-    heard = _send([F.col(f"s{i}") - F.col(f"m{i}") for i in n])
-    final = final.select("id", *((F.col(f"e{i}") + h).alias(f"b{i}") for i, h in enumerate(heard)))
-    top = F.greatest(*_cols("b"))
-    mass = [F.exp(b - top) for b in _cols("b")]
+    states = cut(states)
+    at = states.select(F.col("source_id").alias("ps"), F.col("dir").alias("pd"), "files", *_cols("s"))
+    final = _beside(told, at, hot)
+    final = final.select("id", "pattern", "files", *_cols("e"), *_named_as("s", [F.col(f"s{i}") - F.col(f"m{i}") for i in n]))
+    links = states.filter("c0 is not null").select(*_named_as("s", _cols("c")), *_named_as("e", _cols("w")))
+    return final.select("*", *_named_as("b", [F.col(f"e{i}") + h for i, h in enumerate(_send(_cols("s"), model.edges))])), links
+
+
+def _soft(state: list[Column]) -> list[Column]:
+    top = F.greatest(*state)
+    mass = [F.exp(s - top) for s in state]
     total = sum(mass[1:], mass[0])
-    label = F.lit(LABELS[-1])
-    for i in reversed(range(len(LABELS) - 1)):
-        label = F.when(F.col(f"b{i}") >= top, F.lit(LABELS[i])).otherwise(label)
-    return final.select("id", label.alias("label"), *((m / total).alias(f"p{i}") for i, m in enumerate(mass)))
+    return [m / total for m in mass]
+
+
+def learn(files: DataFrame, found: DataFrame, links: DataFrame, model: Model) -> Model:
+    """The model that fits what was found: counts of labels by pattern, and of pairs of labels of directories and files and of two directories, all smoothed by the first beliefs.
+
+    A directory of one file tells nothing about how alike its files are, so pairs are counted where there are more.
+    """
+    p = found.select("id", "pattern", *_named_as("p", _soft(_cols("b"))))
+    first = files.select("pattern", *_named_as("q", _soft([c / SOFT for c in _cols("e")])))
+    believed = first.groupBy("pattern").agg(*(F.max(f"q{i}").alias(f"q{i}") for i in range(N)))  # alike in all files of a pattern
+    counted = p.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), *(F.sum(f"p{i}").alias(f"p{i}") for i in range(N))).join(believed, "pattern")
+    patterns = cut(counted.select("pattern", *_named_as("l", [F.log((F.col(f"p{i}") + PSEUDO * F.col(f"q{i}") + 1e-6) / (F.col("n") + PSEUDO)) for i in range(N)])))
+    edges = _joint(found.filter("files > 1"), model.edges, LIKE, UNLIKE)
+    tree = _joint(links, model.tree, SAME, OTHER)
+    folders = edges.sum(axis=1)
+    return Model(patterns, np.log(folders), _ratio(edges), _ratio(tree))
+
+
+def _ratio(joint: np.ndarray) -> np.ndarray:
+    return np.log(joint / np.outer(joint.sum(axis=1), joint.sum(axis=0)))
+
+
+def _joint(pairs: DataFrame, edges: np.ndarray, same: float, other: float) -> np.ndarray:
+    """The share of each pair of labels over edges between nodes of states s and e, smoothed."""
+    weight = np.exp(edges)
+    rows = pairs.select(*_named_as("s", _soft(_cols("s"))), *_named_as("e", _soft(_cols("e"))))
+    scaled = rows.select(F.array(*(F.col(f"s{x}") * F.col(f"e{y}") * float(weight[x, y]) for x in range(N) for y in range(N))).alias("j"))
+    scaled = scaled.withColumn("t", F.aggregate("j", F.lit(0.0), lambda a, x: a + x))
+    sums = scaled.agg(*(F.sum(F.col("j")[i] / F.col("t")).alias(f"j{i}") for i in range(N * N))).first()
+    belief = np.where(np.eye(N, dtype=bool), math.exp(same), math.exp(other)) * np.exp(np.array(PRIOR))[:, None]
+    joint = np.array([v or 0.0 for v in sums]).reshape(N, N) + EDGES * belief / belief.sum()
+    return joint / joint.sum()
+
+
+def with_beliefs(files: DataFrame, model: Model) -> DataFrame:
+    """``files`` with the log probabilities of their pattern's labels as e0..e4: the first beliefs, softened, before anything is learned."""
+    if model.patterns is None:
+        return files.withColumns({f"e{i}": F.log(c + 1e-6) for i, c in enumerate(_soft([x / SOFT for x in _cols("e")]))})
+    return files.drop(*(f"e{i}" for i in range(N))).join(small(model.patterns, PATTERNS), "pattern").withColumnsRenamed({f"l{i}": f"e{i}" for i in range(N)})
+
+
+def label_evidence(files: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(id, label, alone, p0..p4): the label of each file by its marginals, what its own marks alone would say, and the marginals."""
+    model, hot = first_model(), hot_folders(files)
+    for _ in range(rounds):
+        found, links = propagate(with_beliefs(files, model), model, hot)
+        model = learn(files, cut(found), links, model)
+    found, _ = propagate(with_beliefs(files, model), model, hot)
+
+    def best(prefix: str) -> Column:
+        top = F.greatest(*_cols(prefix))
+        label = F.lit(LABELS[-1])
+        for i in reversed(range(N - 1)):
+            label = F.when(F.col(f"{prefix}{i}") >= top, F.lit(LABELS[i])).otherwise(label)
+        return label
+
+    return found.select("id", best("b").alias("label"), best("e").alias("alone"), *_named_as("p", _soft(_cols("b"))))
 
 
 def label_files(files: DataFrame, chunks: DataFrame) -> DataFrame:
     """(file_id, label, handwritten) of each distinct file id; ``handwritten`` is that label's marginal."""
-    return propagate(cut(evidence(files, chunks))).select(F.col("id").alias("file_id"), "label", F.round("p0", 6).alias("handwritten"))
+    return label_evidence(cut(evidence(files, chunks))).select(F.col("id").alias("file_id"), "label", F.round("p0", 6).alias("handwritten"))

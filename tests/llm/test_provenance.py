@@ -82,23 +82,84 @@ def test_deep_directories_are_kept_apart(spark):
     assert {r.id: r.dir for r in P.evidence(files, spark.createDataFrame([], CHUNKS)).collect()} == {f"f{d}": f"{top}/{d}" for d in "pq"}
 
 
+EVIDENCE = "id string, source_id string, dir string, pattern long, e0 double, e1 double, e2 double, e3 double, e4 double"
+
+
 def test_marginals_are_exact(spark):
-    """Against the sum over all labellings of a small tree."""
+    """Against the sum over all labellings of a small tree, with weights that aren't symmetric."""
     import itertools
-    import math
-
-    rows = [("a", "s", "d/e", True, *[0.3 * i for i in range(5)]), ("b", "s", "d", True, 1.0, 0.0, -1.0, 2.0, 0.5), ("c", "s", "", False, 0.0, 3.0, 0.0, 0.0, 0.0)]
-    got = {r.id: [r[f"p{i}"] for i in range(5)] for r in P.propagate(spark.createDataFrame(rows, "id string, source_id string, dir string, loud boolean, e0 double, e1 double, e2 double, e3 double, e4 double")).collect()}
-    psi = lambda x, y: math.exp(P.SAME if x == y else P.OTHER)
-    want = {k: [0.0] * 5 for k in "ab"}
-    for root, d, e, a, b in itertools.product(range(5), repeat=5):
-        w = psi(root, d) * psi(d, e) * psi(e, a) * psi(d, b) * math.exp(rows[0][4 + a] + rows[1][4 + b])
-        want["a"][a] += w
-        want["b"][b] += w
-    for k in "ab":
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    model = P.Model(None, rng.normal(size=5), rng.normal(size=(5, 5)), rng.normal(size=(5, 5)))
+    rows = [("a", "s", "d/e", 1, *[0.3 * i for i in range(5)]), ("b", "s", "d", 2, 1.0, 0.0, -1.0, 2.0, 0.5), ("c", "s", "", 3, 0.0, 3.0, 0.0, 0.0, 0.0)]
+    files = spark.createDataFrame(rows, EVIDENCE)
+    found, _ = P.propagate(files, model, P.hot_folders(files))
+    got = {r.id: [r[f"p{i}"] for i in range(5)] for r in found.select("id", *P._named_as("p", P._soft(P._cols("b")))).collect()}
+    folder, file, tree = (np.exp(x) for x in (model.folders, model.edges, model.tree))
+    want = {k: [0.0] * 5 for k in "abc"}
+    for root, d, e, x, y, z in itertools.product(range(5), repeat=6):
+        w = folder[root] * folder[d] * folder[e] * tree[root, d] * tree[d, e] * file[e, x] * file[d, y] * file[root, z]
+        w *= np.exp(rows[0][4 + x] + rows[1][4 + y] + rows[2][4 + z])
+        want["a"][x] += w
+        want["b"][y] += w
+        want["c"][z] += w
+    for k in "abc":
         assert max(abs(g - w / sum(want[k])) for g, w in zip(got[k], want[k])) < 1e-9
 
 
+def test_neighbours_decide_where_a_file_says_little(spark):
+    """Files without contents in directories of generated files, and alone."""
+    line = "  static get_field_{i}(o) {{ return o.$f[{i}] | 0; }}"
+    made = "\n".join(line.format(i=i) for i in range(40))
+    files, chunks = [], []
+    for d in range(6):
+        for i in range(8):
+            path = f"lib/part{d}/x{i}.js"
+            files.append((f"{d}.{i}", "s", path, "h", "x"))
+            if i:
+                chunks.append((f"c{d}.{i}", "s", path, made if d < 3 else CODE, 1, 0))
+    files.append(("alone", "s", "other/x.js", "h", "x"))
+    found = {r.id: r for r in P.label_evidence(P.evidence(spark.createDataFrame(files, FILES), spark.createDataFrame(chunks, CHUNKS))).collect()}
+    assert [found[f"{d}.0"].label for d in range(6)] == ["generated"] * 3 + ["handwritten"] * 3
+    assert found["0.0"].alone == "handwritten" and found["alone"].label == "handwritten"
+
+
+def test_contents_withheld(spark):
+    """Of a fifth of the files of sf0.01 the contents are withheld: neighbours find more of the machine-made ones than paths alone, and few others."""
+    from pyspark.sql import functions as F
+
+    d = "/root/testdata/sf0.01"
+    files, chunks = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("files", "chunks"))
+    full = P.label_files(files, chunks).filter(F.pmod(F.xxhash64("file_id"), F.lit(5)) == 0).select("file_id", F.col("label").alias("full"))
+    hidden = files.join(full, files.id == full.file_id).select("source_id", "file_path").distinct()
+    found = P.label_evidence(P.evidence(files, chunks.join(hidden, ["source_id", "file_path"], "left_anti"))).join(full, F.col("id") == F.col("file_id")).collect()
+    other = [r for r in found if r.full != "handwritten"]
+    alone, model = (sum(r[c] != "handwritten" for r in other) for c in ("alone", "label"))
+    wrong = sum(r.full == "handwritten" != r.label for r in found)
+    assert model > alone and wrong <= 2
+
+
+def test_hot_directories_and_names_give_the_same(spark, monkeypatch):
+    """A directory dealt over several keys, and names joined by salted keys."""
+    rows = [(f"f{i}", "s", "d" if i % 5 else f"d/{i}", i % 3, *[float((i * 7 + j * 3) % 5) for j in range(5)]) for i in range(60)]
+    files = spark.createDataFrame(rows, EVIDENCE)
+
+    def marginals():
+        return {r.id: r.p0 for r in P.label_evidence(files, rounds=1).select("id", "p0").collect()}
+
+    plain = marginals()
+    monkeypatch.setattr(P, "HOT_FILES", 10)
+    assert P.hot_folders(files).count() == 1
+    assert all(abs(p - plain[k]) < 1e-9 for k, p in marginals().items())
+    words = spark.createDataFrame([(f"f{i}", "src" if i % 2 else f"n{i}") for i in range(50)], "id string, name string")
+    names = spark.createDataFrame([("src",), ("n4",)], "name string")
+    few = sorted(map(tuple, P._named(words, names).select("id", "name").collect()))
+    monkeypatch.setattr(P, "small", lambda x: x)
+    assert sorted(map(tuple, P._named(words, names).select("id", "name").collect())) == few and len(few) == 26
+
+
 def test_empty(spark):
     files, chunks = spark.createDataFrame([], FILES), spark.createDataFrame([], CHUNKS)
     assert P.label_files(files, chunks).collect() == []
