@@ -434,12 +434,22 @@ def first_model() -> Model:
     return Model(None, np.zeros(N), np.where(same, LIKE, UNLIKE), np.where(same, SAME, OTHER))
 
 
-def _send(state: list[Column], edges: np.ndarray) -> list[Column]:
-    """The message over an edge: of each label of the receiver the log of the sum over the sender's, whose greatest counts as 1."""
+def _with(rows: DataFrame, model: Model) -> DataFrame:
+    """``rows`` with the model's numbers as columns of one broadcast row: as literals they would make every round's code anew."""
+    numbers = {
+        **{f"r{i}": float(x) for i, x in enumerate(model.folders)},
+        **{f"{name}{x}{y}": float(v) for name, edges in (("f", model.edges), ("t", model.tree)) for (x, y), v in np.ndenumerate(np.exp(edges))},
+    }
+    one = rows.sparkSession.createDataFrame([tuple(numbers.values())], ", ".join(f"{k} double" for k in numbers))
+    return rows.crossJoin(F.broadcast(one))  # one row
+
+
+def _send(state: list[Column], edges: str, up: bool = False) -> list[Column]:
+    """The message over an edge: of each label of the receiver the log of the sum over the sender's, whose greatest counts as 1; ``edges``: f of a directory and its file, t of two directories."""
     top = F.greatest(*state)
     mass = [F.exp(s - top) for s in state]
-    weight = np.exp(edges)
-    return [F.log(sum((m * float(weight[x, y]) for x, m in enumerate(mass[1:], 1)), mass[0] * float(weight[0, y]))) for y in range(N)]
+    weight = [[F.col(f"{edges}{y}{x}" if up else f"{edges}{x}{y}") for y in range(N)] for x in range(N)]
+    return [F.log(sum((m * weight[x][y] for x, m in enumerate(mass[1:], 1)), mass[0] * weight[0][y])) for y in range(N)]
 
 
 def _cols(prefix: str) -> list[Column]:
@@ -477,8 +487,8 @@ def propagate(files: DataFrame, model: Model, hot: DataFrame) -> tuple[DataFrame
     Levels of the tree are steps of one plan, which is cut every ``LEVELS`` of them.
     """
     n = range(N)
-    root = [F.lit(float(x)) for x in model.folders]
-    told = files.select("id", "source_id", "dir", "pattern", *_named_as("m", _send(_cols("e"), model.edges.T)), *_cols("e"))
+    root = _cols("r")
+    told = _with(files, model).select("id", "source_id", "dir", "pattern", *_named_as("m", _send(_cols("e"), "f", up=True)), *_cols("e"))
     # upward: what each directory hears from its files and directories, from the deepest level to the root
     direct = cut(told.groupBy("source_id", "dir").agg(*(F.sum(f"m{i}").alias(f"a{i}") for i in n), F.count(F.lit(1)).alias("files")).withColumn("depth", F.when(F.col("dir") == "", F.lit(0)).otherwise(F.size(F.split("dir", "/")))))
     deepest = direct.agg(F.max("depth")).first()[0] or 0
@@ -489,7 +499,7 @@ def propagate(files: DataFrame, model: Model, hot: DataFrame) -> tuple[DataFrame
         if from_below is not None:
             here = here.unionByName(from_below).groupBy("source_id", "dir").agg(F.sum("files").alias("files"), *(F.sum(f"a{i}").alias(f"a{i}") for i in n))
         # a = all that came from below; u = the message to the directory above
-        here = here.select("source_id", "dir", "files", *_cols("a"), *_named_as("u", _send([c + r for c, r in zip(_cols("a"), root)], model.tree.T)))
+        here = _with(here, model).select("source_id", "dir", "files", *_cols("a"), *_named_as("u", _send([c + r for c, r in zip(_cols("a"), root)], "t", up=True)))
         if (deepest - depth) % LEVELS == LEVELS - 1:
             here = cut(here)
         ups.append(here)
@@ -501,14 +511,14 @@ def propagate(files: DataFrame, model: Model, hot: DataFrame) -> tuple[DataFrame
     up = cut(up)
     # downward: each directory's full state, from the root
     nothing = [F.lit(None).cast("double")] * N
-    state = up.filter("depth = 0").select("source_id", "dir", "files", *_named_as("s", [c + r for c, r in zip(_cols("a"), root)]), *_named_as("c", nothing), *_named_as("w", nothing))
+    state = _with(up.filter("depth = 0"), model).select("source_id", "dir", "files", *_named_as("s", [c + r for c, r in zip(_cols("a"), root)]), *_named_as("c", nothing), *_named_as("w", nothing))
     states = state
     for depth in range(1, deepest + 1):
         here = up.filter(F.col("depth") == depth).withColumn("parent", _parent(depth))
         above = state.select(F.col("source_id").alias("ps"), F.col("dir").alias("pd"), *_cols("s"))
-        joined = here.join(above, (F.col("source_id") == F.col("ps")) & (F.col("parent") == F.col("pd")))
+        joined = _with(here.join(above, (F.col("source_id") == F.col("ps")) & (F.col("parent") == F.col("pd"))), model)
         cavity, own = [F.col(f"s{i}") - F.col(f"u{i}") for i in n], [F.col(f"a{i}") + root[i] for i in n]
-        down = _send(cavity, model.tree)
+        down = _send(cavity, "t")
         state = joined.select("source_id", "dir", "files", *_named_as("s", [o + d for o, d in zip(own, down)]), *_named_as("c", cavity), *_named_as("w", own))
         if depth % LEVELS == 0:
             state = cut(state)
@@ -519,7 +529,8 @@ def propagate(files: DataFrame, model: Model, hot: DataFrame) -> tuple[DataFrame
     final = _beside(told, at, hot)
     final = final.select("id", "pattern", "files", *_cols("e"), *_named_as("s", [F.col(f"s{i}") - F.col(f"m{i}") for i in n]))
     links = states.filter("c0 is not null").select(*_named_as("s", _cols("c")), *_named_as("e", _cols("w")))
-    return final.select("*", *_named_as("b", [F.col(f"e{i}") + h for i, h in enumerate(_send(_cols("s"), model.edges))])), links
+    final = _with(final, model).select(*final.columns, *_named_as("b", [F.col(f"e{i}") + h for i, h in enumerate(_send(_cols("s"), "f"))]))
+    return final, links
 
 
 def _soft(state: list[Column]) -> list[Column]:
@@ -539,8 +550,8 @@ def learn(files: DataFrame, found: DataFrame, links: DataFrame, model: Model) ->
     believed = first.groupBy("pattern").agg(*(F.max(f"q{i}").alias(f"q{i}") for i in range(N)))  # alike in all files of a pattern
     counted = p.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), *(F.sum(f"p{i}").alias(f"p{i}") for i in range(N))).join(believed, "pattern")
     patterns = cut(counted.select("pattern", *_named_as("l", [F.log((F.col(f"p{i}") + PSEUDO * F.col(f"q{i}") + 1e-6) / (F.col("n") + PSEUDO)) for i in range(N)])))
-    edges = _joint(found.filter("files > 1"), model.edges, LIKE, UNLIKE)
-    tree = _joint(links, model.tree, SAME, OTHER)
+    edges = _joint(found.filter("files > 1"), model, "f", LIKE, UNLIKE)
+    tree = _joint(links, model, "t", SAME, OTHER)
     folders = edges.sum(axis=1)
     return Model(patterns, np.log(folders), _ratio(edges), _ratio(tree))
 
@@ -549,11 +560,10 @@ def _ratio(joint: np.ndarray) -> np.ndarray:
     return np.log(joint / np.outer(joint.sum(axis=1), joint.sum(axis=0)))
 
 
-def _joint(pairs: DataFrame, edges: np.ndarray, same: float, other: float) -> np.ndarray:
+def _joint(pairs: DataFrame, model: Model, edges: str, same: float, other: float) -> np.ndarray:
     """The share of each pair of labels over edges between nodes of states s and e, smoothed."""
-    weight = np.exp(edges)
-    rows = pairs.select(*_named_as("s", _soft(_cols("s"))), *_named_as("e", _soft(_cols("e"))))
-    scaled = rows.select(F.array(*(F.col(f"s{x}") * F.col(f"e{y}") * float(weight[x, y]) for x in range(N) for y in range(N))).alias("j"))
+    rows = _with(pairs.select(*_named_as("s", _soft(_cols("s"))), *_named_as("e", _soft(_cols("e")))), model)
+    scaled = rows.select(F.array(*(F.col(f"s{x}") * F.col(f"e{y}") * F.col(f"{edges}{x}{y}") for x in range(N) for y in range(N))).alias("j"))
     scaled = scaled.withColumn("t", F.aggregate("j", F.lit(0.0), lambda a, x: a + x))
     sums = scaled.agg(*(F.sum(F.col("j")[i] / F.col("t")).alias(f"j{i}") for i in range(N * N))).first()
     belief = np.where(np.eye(N, dtype=bool), math.exp(same), math.exp(other)) * np.exp(np.array(PRIOR))[:, None]
