@@ -2,8 +2,9 @@
 
 The chunks of a job are dealt at random into shards of bounded size. Each shard is worked on by several islands: a population of packings is bred by
 injecting whole well-filled selections of one parent into another, dropping the selections that hold an injected chunk, and putting the
-displaced chunks back by best fit. After each epoch the best packing of every island migrates to the next one. The best island of a shard
-gives its selections; those that are left less than ``FULL`` filled are opened and packed again in new, fewer shards, so little room is lost at the shards' borders.
+displaced chunks back: first by exchanging one or two chunks of a selection for displaced ones that fill it better, then by best fit. After each epoch the best packing
+of every island migrates to the next one. An island ends at a proven lower bound of the number of selections, or when an epoch brought it nothing
+``PATIENCE`` times in a row. The best island of a shard gives its selections; those that are left less than ``FULL`` filled are opened and packed again in new, fewer shards, so little room is lost at the shards' borders.
 
 A chunk above the budget, and no other, is divided: into full selections and one rest, which is packed like a chunk.
 
@@ -14,8 +15,9 @@ non-positive budgets and null sources pack nothing; repeated rows of an id count
 from __future__ import annotations
 
 import random
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -24,10 +26,12 @@ from pyspark.sql import functions as F
 from skeinflow.functions.session import cut, small
 
 #: Chunks of a shard, islands of a shard, epochs between migrations, packings of an island, offspring of an epoch.
-SHARD_ROWS, ISLANDS, EPOCHS, POPULATION, OFFSPRING = 1_500, 2, 2, 6, 24
+SHARD_ROWS, ISLANDS, EPOCHS, POPULATION, OFFSPRING = 1_500, 4, 8, 12, 80
+#: Epochs without gain after which an island ends.
+PATIENCE = 2
 #: Selections filled less than this are opened and packed again.
 FULL, ROUNDS = 0.995, 2
-STATE = "job_id int, shard int, island int, budget long, ids array<string>, sizes array<long>, elite array<int>, bins int, done boolean"
+STATE = "job_id int, shard int, island int, budget long, ids array<string>, sizes array<long>, elite array<int>, bins int, fill double, stale int, done boolean"
 
 Bins = list[list[int]]
 
@@ -52,8 +56,64 @@ def fitness(bins: Bins, sizes: list[int], budget: int) -> tuple[int, float]:
     return -len(bins), sum((sum(sizes[i] for i in b) / budget) ** 2 for b in bins) / max(1, len(bins))
 
 
+def lower_bound(sizes: list[int], budget: int) -> int:
+    """A number of selections that no packing is below: for each size a, items above budget - a stand alone, those above half need one each, and those from a to half must go into what these leave."""
+    ordered = sorted(x for x in sizes if x > 0)
+    before = [0]
+    for x in ordered:
+        before.append(before[-1] + x)
+    n, half = len(ordered), bisect_right(ordered, budget // 2)
+    best = -(-before[-1] // budget)
+    for k in range(half + 1):
+        a = ordered[k] if k < half else budget // 2 + 1  # items smaller than a are left out
+        alone = max(half, bisect_right(ordered, budget - a))
+        large = n - half
+        room = (alone - half) * budget - (before[alone] - before[half])
+        best = max(best, large + max(0, -(-(before[half] - before[k] - room) // budget)))
+    return max(best, 1 if sizes else 0)
+
+
+def exchange(bins: Bins, loose: list[int], sizes: list[int], budget: int) -> list[int]:
+    """One or two items of a bin go for one or two loose ones that fill it better; ``bins`` changes, what is loose afterwards comes back."""
+    free = sorted((sizes[i], i) for i in loose)
+    for bin_ in bins:
+        if not free:
+            break
+        room = budget - sum(sizes[i] for i in bin_)
+        if not room:
+            continue
+        out: tuple[int, ...] = ()
+        into: tuple[tuple[int, int], ...] = ()
+        gain = 0
+        for give in [*((i,) for i in bin_), *combinations(bin_, 2)]:
+            held = sum(sizes[i] for i in give)
+            least, most = held + gain, held + room
+            at = bisect_right(free, (most, len(sizes)))
+            if at and free[at - 1][0] > least:
+                out, into, gain = give, (free[at - 1],), free[at - 1][0] - held
+                least = held + gain
+            lo, hi = 0, len(free) - 1
+            while lo < hi and least < most:
+                both = free[lo][0] + free[hi][0]
+                if both > most:
+                    hi -= 1
+                    continue
+                if both > least:
+                    out, into, gain, least = give, (free[lo], free[hi]), both - held, both
+                lo += 1
+            if gain == room:
+                break
+        if gain:
+            bin_[:] = [i for i in bin_ if i not in out] + [i for _, i in into]
+            for x in into:
+                free.remove(x)
+            for i in out:
+                insort(free, (sizes[i], i))
+    return [i for _, i in reversed(free)]
+
+
 def crossover(a: Bins, b: Bins, sizes: list[int], budget: int, rng: random.Random) -> Bins:
-    """Whole well-filled bins of a are injected into b; bins of b that hold an injected item go, and their other items are best-fitted."""
+    """Whole well-filled bins of a are injected into b; bins of b that hold an injected item go, and their other items are exchanged into the rest or best-fitted."""
     fill = sorted(range(len(a)), key=lambda k: -sum(sizes[i] for i in a[k]))
     take = fill[: max(1, len(fill) // 2)]
     injected = [a[k][:] for k in take if rng.random() < 0.5] or [a[take[0]][:]]
@@ -64,26 +124,26 @@ def crossover(a: Bins, b: Bins, sizes: list[int], budget: int, rng: random.Rando
             kept.append(bin_[:])
         else:
             displaced += [i for i in bin_ if i not in inside]
-    displaced.sort(key=lambda i: -sizes[i])
-    return best_fit(displaced, sizes, budget, kept)
+    return best_fit(exchange(kept, displaced, sizes, budget), sizes, budget, kept)
 
 
 def mutate(bins: Bins, sizes: list[int], budget: int, rng: random.Random) -> Bins:
-    """The emptiest bin and a few others are opened and their items best-fitted anew."""
+    """The emptiest bin and a few others are opened and their items exchanged into the rest or best-fitted anew."""
     if len(bins) < 2:
         return bins
     emptiest = min(range(len(bins)), key=lambda k: sum(sizes[i] for i in bins[k]))
     opened = {emptiest, *(rng.randrange(len(bins)) for _ in range(min(4, len(bins))))}
-    loose = [i for k in opened for i in bins[k]]
-    rng.shuffle(loose)
+    kept = [b[:] for k, b in enumerate(bins) if k not in opened]
+    rng.shuffle(kept)
+    loose = exchange(kept, [i for k in opened for i in bins[k]], sizes, budget)
     loose.sort(key=lambda i: -sizes[i] + rng.random() * sizes[i] * 0.1)
-    return best_fit(loose, sizes, budget, [b[:] for k, b in enumerate(bins) if k not in opened])
+    return best_fit(loose, sizes, budget, kept)
 
 
 def evolve(sizes: list[int], budget: int, start: list[Bins], seed: int, offspring: int = OFFSPRING, population: int = POPULATION) -> Bins:
-    """The best packing of one island after an epoch; it ends at once at the least possible number of selections."""
+    """The best packing of one island after an epoch; it ends at once at the lower bound."""
     rng = random.Random(seed)
-    least = max(1, -(-sum(sizes) // budget)) if sizes else 0
+    least = lower_bound(sizes, budget)
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
     pool = [(fitness(b, sizes, budget), b) for b in start or [best_fit(order, sizes, budget, [])]]
     if max(pool, key=lambda p: p[0])[0][0] == -least:
@@ -137,7 +197,7 @@ def _start(pieces: DataFrame, shard_rows: int, islands: int, seed: int) -> DataF
     counts = pieces.groupBy("job_id").agg(F.ceil(F.count(F.lit(1)) / shard_rows).alias("shards")).withColumnRenamed("job_id", "j")
     dealt = pieces.join(small(counts), F.col("job_id") == F.col("j")).withColumn("shard", F.pmod(F.xxhash64("key", F.lit(seed)), F.col("shards")).cast("int"))
     shards = dealt.groupBy("job_id", "shard").agg(F.max("budget").alias("budget"), F.sort_array(F.collect_list(F.struct("key", "size"))).alias("all"))
-    return shards.select("job_id", "shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "budget", F.col("all.key").alias("ids"), F.col("all.size").alias("sizes"), F.expr("cast(array() as array<int>)").alias("elite"), F.lit(0).alias("bins"), F.lit(False).alias("done"))
+    return shards.select("job_id", "shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "budget", F.col("all.key").alias("ids"), F.col("all.size").alias("sizes"), F.expr("cast(array() as array<int>)").alias("elite"), F.lit(0).alias("bins"), F.lit(0.0).alias("fill"), F.lit(0).alias("stale"), F.lit(False).alias("done"))
 
 
 def _epoch(state: DataFrame, epoch: int) -> DataFrame:
@@ -151,7 +211,9 @@ def _epoch(state: DataFrame, epoch: int) -> DataFrame:
                 sizes = [int(x) for x in r.sizes]
                 start = [_to_bins(list(e)) for e in (r.elite, r.guest) if len(e)]
                 best = evolve(sizes, int(r.budget), start, seed=hash((int(r.job_id), int(r.shard), int(r.island), epoch)))
-                rows.append((r.job_id, r.shard, r.island, r.budget, list(r.ids), sizes, _from_bins(best, len(sizes)), len(best), len(best) <= -(-sum(sizes) // int(r.budget))))
+                bins, fill = fitness(best, sizes, int(r.budget))
+                stale = 0 if (bins, fill) > (-r.bins, r.fill + 1e-9) or not r.bins else r.stale + 1
+                rows.append((r.job_id, r.shard, r.island, r.budget, list(r.ids), sizes, _from_bins(best, len(sizes)), len(best), fill, stale, stale >= PATIENCE or len(best) <= lower_bound(sizes, int(r.budget))))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in STATE.split(", ")])
 
     # the elite of each island goes to the next one of its shard
@@ -167,6 +229,8 @@ def _packed(pieces: DataFrame, shard_rows: int, islands: int, epochs: int, seed:
     state = _start(pieces, shard_rows, islands, seed)
     for epoch in range(epochs):
         state = cut(_epoch(state, epoch))
+        if state.filter("not done").isEmpty():
+            break
     best = state.withColumn("r", F.row_number().over(Window.partitionBy("job_id", "shard").orderBy("bins", "island"))).filter("r = 1")
     flat = best.select("job_id", "budget", "shard", F.explode(F.arrays_zip("ids", "sizes", "elite")).alias("x")).select("job_id", "budget", "shard", F.col("x.ids").alias("key"), F.col("x.sizes").alias("size"), F.col("x.elite").alias("bin"))
     return flat.withColumn("fill", F.sum("size").over(Window.partitionBy("job_id", "shard", "bin")) / F.col("budget"))

@@ -105,6 +105,17 @@ def p5_selections(spark: SparkSession, d: str) -> DataFrame:
     return packing.selections(p5_packing(spark, d))
 
 
+@query
+def p5_placed(spark: SparkSession, d: str) -> DataFrame:
+    """Of each job and chunk what the selections hold of it, in how many of them, and whether all of these keep to the budget."""
+    packed = p5_packing(spark, d)
+    total = packing.selections(packed).select("job_id", "selection", (F.col("unused") >= 0).alias("fits"))
+    return packed.join(total, ["job_id", "selection"]).groupBy("job_id", "chunk_id").agg(F.sum("tokens").alias("tokens"), F.count_distinct("selection").alias("selections"), F.every("fits").alias("fits"))
+
+
+ORACLE["p5_placed"] = """
+WITH c AS (SELECT id, any_value(source_id) AS source_id, max(CASE WHEN tokens >= 1 THEN tokens ELSE ceil(length(content) / 4.0) END)::BIGINT AS t FROM chunks GROUP BY id)
+SELECT j.job_id, c.id AS chunk_id, c.t AS tokens, greatest(ceil(c.t / j.budget), 1)::BIGINT AS selections, true AS fits FROM pack_jobs j JOIN c ON c.source_id = j.source_id"""
 ORACLE["p5_found"] = """
 WITH c AS (SELECT id, any_value(source_id) AS source_id, max(CASE WHEN tokens >= 1 THEN tokens ELSE ceil(length(content) / 4.0) END) AS t FROM chunks GROUP BY id)
 SELECT DISTINCT j.job_id, c.id AS chunk_id FROM pack_jobs j JOIN c ON c.source_id = j.source_id WHERE c.t > j.budget"""

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -26,6 +27,81 @@ def test_breeding_beats_or_equals_best_fit():
         assert len(best) <= len(plain)
 
 
+def triplets(n, seed):
+    """3 n items that fill n bins of 1000 exactly, three each."""
+    rng, out = random.Random(seed), []
+    for _ in range(n):
+        a = rng.randint(380, 490)
+        b = rng.randint(250, (1000 - a) // 2)
+        out += [a, b, 1000 - a - b]
+    rng.shuffle(out)
+    return out
+
+
+def near_halves(n, seed):
+    rng = random.Random(seed)
+    return [rng.choice([rng.randint(330, 345), rng.randint(495, 520), rng.randint(150, 180)]) for _ in range(n)]
+
+
+@pytest.mark.parametrize(("sizes", "optimum"), [(triplets(60, 60), 60), (triplets(120, 120), 120), (triplets(200, 3), 200)])
+def test_breeding_comes_near_the_optimum_where_best_fit_does_not(sizes, optimum):
+    plain = P.best_fit(sorted(range(len(sizes)), key=lambda i: -sizes[i]), sizes, 1000, [])
+    best = P.evolve(sizes, 1000, [], seed=1)
+    assert len(plain) > 1.1 * optimum and len(best) <= 1.03 * optimum and P.lower_bound(sizes, 1000) == optimum
+
+
+def test_breeding_beats_best_fit_on_near_halves():
+    sizes = near_halves(300, 5)
+    plain = P.best_fit(sorted(range(len(sizes)), key=lambda i: -sizes[i]), sizes, 1000, [])
+    assert len(P.evolve(sizes, 1000, [], seed=1)) < len(plain)
+
+
+def test_islands_beat_best_fit(spark):
+    """The whole operator on a hard source: fewer selections than best fit makes."""
+    sizes = triplets(100, 9)
+    chunks = spark.createDataFrame([(f"c{i}", "s", "", x, 0) for i, x in enumerate(sizes)], CHUNKS)
+    packed = P.pack(chunks, spark.createDataFrame([(1, "s", 1000)], JOBS))
+    made = P.selections(packed).collect()
+    plain = P.best_fit(sorted(range(len(sizes)), key=lambda i: -sizes[i]), sizes, 1000, [])
+    assert len(made) <= 103 < len(plain) and all(r.total_tokens <= 1000 for r in made) and sum(r.chunks for r in made) == 300
+
+
+def least_bins(sizes, budget):
+    best = len(sizes)
+
+    def put(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(sizes):
+            best = len(rooms)
+            return
+        for i, r in enumerate(rooms):
+            if r >= sizes[k]:
+                put(k + 1, [*rooms[:i], r - sizes[k], *rooms[i + 1 :]])
+        put(k + 1, [*rooms, budget - sizes[k]])
+
+    put(0, [])
+    return best
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=7), st.integers(20, 30))
+def test_lower_bound(sizes, budget):
+    assert P.lower_bound(sizes, budget) <= least_bins(sizes, budget)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 30), min_size=2, max_size=40), st.integers(30, 60), st.integers(0, 40))
+def test_exchange_keeps_all_items_and_budgets(sizes, budget, loose):
+    order = list(range(len(sizes)))
+    bins = P.best_fit(order[loose:], sizes, budget, [])
+    filled = sum(sizes[i] for b in bins for i in b)
+    left = P.exchange(bins, order[:loose], sizes, budget)
+    assert sorted([*left, *(i for b in bins for i in b)]) == order and all(sum(sizes[i] for i in b) <= budget for b in bins)
+    assert sum(sizes[i] for b in bins for i in b) >= filled
+
+
 def test_crossover_keeps_injected_bins_whole():
     sizes, rng = [5] * 12, random.Random(2)
     a = [[0, 1], [2, 3], [4, 5], [6, 7], [8, 9], [10, 11]]
