@@ -87,7 +87,7 @@ def report(sizes: DataFrame, targets: DataFrame, range_rows: int = RANGE_ROWS, s
 
     What a source can give is the last of its prefix sums times its cap; without a selected document it comes from the plan.
     """
-    chosen = (
+    chosen = cut(  # a row a target, used twice
         select_mix(sizes, targets, range_rows, seed)
         .groupBy(F.col("mix_id").alias("m"), F.col("source").alias("s"))
         .agg(
