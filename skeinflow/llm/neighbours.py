@@ -1,10 +1,11 @@
 """Problem 2: for every chunk the k others of highest cosine similarity, by a block matrix join.
 
-Vectors are brought to unit norm, rows with the same vector (to six decimals) are put together as one class, and the classes are dealt into blocks of bounded
-size. Every pair of blocks is one task: its int8 product tiles (exact integers, multiplied in float32, where sums stay below 2^24) give each
-similarity up to a bound known from the rows' own quantisation errors. A pair survives if its upper bound reaches the row's threshold, which is the
-greater of ``least`` and the k-th best lower bound met so far; survivors are computed anew in float and kept in bounded heaps. The heaps of a
-row are merged over the block pairs, and classes are expanded to ids at the end, of which never more than k + 1 are needed.
+Vectors are brought to unit norm, rows with the same vector (to six decimals) are put together as one class, and the classes are dealt into blocks of a fixed
+size. Each block is one task, which meets all blocks one after the other: int8 product tiles (exact integers, multiplied in float32, where sums stay below
+2^24) give each similarity up to a bound known from the rows' own quantisation errors. A pair survives if its upper bound reaches the row's threshold,
+which is the greater of ``least`` and the k-th best lower bound met so far; survivors are computed anew in float and kept in bounded heaps. As a task holds
+the heaps of its rows over all blocks, k pairs a class leave it, however many blocks there are. Classes are expanded to ids at the end, of
+which never more than k + 1 are needed.
 
 No pair of blocks is left out, so recall is 1 up to rounding; work grows with the square of the number of distinct vectors, in tiles that run
 at the speed of a matrix product. ``least`` only lets a caller ask for no neighbours below it.
@@ -15,36 +16,45 @@ taken); ties among copies go to the smaller id; classes of any number of copies
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as fs
 import pyarrow.parquet as pq
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinflow.functions.session import cut, small, written
+from skeinflow.functions.session import cut, kept, small, written
 
 K, DIM = 10, 64
-#: Rows of a block, and of a tile within a pair of blocks.
-BLOCK_ROWS, TILE_ROWS, TILE_COLUMNS = 32_768, 512, 2_048
+#: Rows of a block, and of a tile within a pair of blocks; the same at every size.
+BLOCK_ROWS, TILE_ROWS, TILE_COLUMNS = 8_192, 512, 2_048
 
 
 def keyed(rows: DataFrame, dim: int = DIM) -> DataFrame:
-    """(id, key, embedding) of each row with a usable vector; equal keys mean the same direction to six decimals."""
-    e = F.col("embedding")
-    fine = F.col("id").isNotNull() & (F.size(e) == dim) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
-    squares = F.aggregate(e, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    steps = F.transform(e, lambda x: F.round(x / F.col("norm") * 1e6).cast("int"))
-    key = F.concat_ws("-", F.hex(F.xxhash64(F.lit(1), "steps")), F.hex(F.xxhash64(F.lit(2), "steps")))
-    return rows.select("id", "embedding").filter(fine).withColumn("norm", F.sqrt(squares)).withColumn("steps", steps).select("id", key.alias("key"), "embedding")
+    """(id, key, vector) of each row with a usable vector: its direction as float32, and a hash of it that is equal where directions are to six decimals."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            e = b.column("embedding")
+            at = np.flatnonzero(e.is_valid().to_numpy(zero_copy_only=False) & (np.nan_to_num(e.value_lengths().to_numpy(zero_copy_only=False).astype(float)) == dim) & b.column("id").is_valid().to_numpy(zero_copy_only=False))
+            x = e.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+            fine = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)  # a null number reads as NaN
+            at, x = at[fine], _unit(x[fine])
+            steps = np.rint(x * 1e6).astype(np.int32)
+            keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in steps]
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at)), pa.array(keys, pa.binary()), pa.array([v.tobytes() for v in x.astype(np.float32)], pa.binary())], names=["id", "key", "vector"])
 
-def _unit(flat: np.ndarray, dim: int) -> np.ndarray:
-    x = flat.astype(np.float64).reshape(-1, dim)
-    x /= np.abs(x).max(axis=1, keepdims=True)
-    return (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32)
+    return rows.select(F.col("id").cast("string").alias("id"), F.col("embedding").cast("array<float>").alias("embedding")).mapInArrow(run, "id string, key binary, vector binary")
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of float64, none of them zero, brought to norm 1."""
+    x = x / np.abs(x).max(axis=1, keepdims=True, initial=1e-300)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
@@ -110,106 +120,95 @@ def _survivors(dots: np.ndarray, need: np.ndarray, slack: np.ndarray, k: int) ->
     return hot[i], j
 
 
-def join_blocks(a: np.ndarray, b: np.ndarray | None, k: int, least: float) -> tuple[Heaps, Heaps]:
-    """The heaps of both sides of a pair of blocks; b None: the block with itself."""
+def join_blocks(heaps: Heaps, a: np.ndarray, b: np.ndarray | None, k: int, first: int = 0) -> None:
+    """The pairs of block a with block b (None: with itself, no row with its own) into the heaps of a's rows; the rows of b are numbered from ``first`` on."""
     own = b is None
     b = a if own else b
     (qa, sa, ea), (qb, sb, eb) = quantise(a), quantise(b)
     unit = np.float32(sa * sb)
-    left = Heaps(len(a), k, least)
-    right = left if own else Heaps(len(b), k, least)
     fa, fb = qa.astype(np.float32), qb.astype(np.float32)
     for y in range(0, len(b), TILE_COLUMNS):
         ty = np.ascontiguousarray(fb[y : y + TILE_COLUMNS].T)
-        cols = slice(y, y + ty.shape[1])
-        for x in range(0, min(len(a), y + TILE_COLUMNS) if own else len(a), TILE_ROWS):
+        worst = float(eb[y : y + TILE_COLUMNS].max())
+        for x in range(0, len(a), TILE_ROWS):
             dots = fa[x : x + TILE_ROWS] @ ty  # exact integers
             rows = slice(x, x + len(dots))
-            worst_x, worst_y = float(ea[rows].max()), float(eb[cols].max())
-            for heaps, tile, at, error, worst, across in ((left, dots, rows, ea, worst_y, False), (right, dots.T, cols, eb, worst_x, True)):
-                slack = (error[at] + worst * (1 + error[at])) / unit
-                i, j = _survivors(tile, heaps.least[at] / unit - slack, slack, k + own)
-                if not len(i):
-                    continue
-                r, c = i + at.start, j + (x if across else y)
-                if own:  # each unordered pair is met from both sides above the diagonal only
-                    fine = r > c if across else c > r
-                    r, c = r[fine], c[fine]
-                mine, other = (b, a) if across else (a, b)
-                for s in range(0, len(r), 1 << 17):
-                    rr, cc = r[s : s + (1 << 17)], c[s : s + (1 << 17)]
-                    heaps.push(rr, cc, np.einsum("ij,ij->i", mine[rr], other[cc], dtype=np.float64))
-    return left, right
-
-
-def _emit(heaps: Heaps, block: int, other: int, k: int) -> pa.RecordBatch:
+            slack = (ea[rows] + worst * (1 + ea[rows])) / unit
+            i, j = _survivors(dots, heaps.least[rows] / unit - slack, slack, k + own)
+            r, c = i + x, j + y
+            if own:
+                r, c = r[r != c], c[r != c]
+            for s in range(0, len(r), 1 << 17):
+                rr, cc = r[s : s + (1 << 17)], c[s : s + (1 << 17)]
+                heaps.push(rr, cc + first, np.einsum("ij,ij->i", a[rr], b[cc], dtype=np.float64))
+
+
+def _emit(heaps: Heaps, first: int, k: int) -> pa.RecordBatch:
     top = np.argsort(-heaps.value, axis=1, kind="stable")[:, :k]
     v, o = np.take_along_axis(heaps.value, top, 1), np.take_along_axis(heaps.other, top, 1)
     row, _ = np.nonzero(o >= 0)
-    return pa.RecordBatch.from_arrays([pa.array((block << 32) + row), pa.array((other << 32) + o[o >= 0]), pa.array(v[o >= 0])], names=["a", "b", "similarity"])
+    return pa.RecordBatch.from_arrays([pa.array(first + row), pa.array(o[o >= 0]), pa.array(v[o >= 0])], names=["a", "b", "similarity"])
+
+
+def _open(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a Hadoop address and the path in it; the schemes of Hadoop's object stores have other names here."""
+    for theirs, ours in (("s3[an]?", "s3"), ("wasbs?", "abfs"), ("abfss", "abfs"), ("gs|gcs", "gs")):
+        uri = re.sub(rf"^(?:{theirs})://", f"{ours}://", uri)
+    return fs.FileSystem.from_uri(uri)
 
 
 def block_join(distinct: DataFrame, rows: int, k: int = K, least: float = -2.0, dim: int = DIM, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
     """((key, place) of each vector, (a, b, similarity) of the k best places for each place).
 
-    ``rows`` bounds the number of vectors. A place is block * 2^32 + position. Blocks are written once to the shared folder, where the task of a
-    pair of blocks reads its two, so the vectors aren't shuffled once for every pair.
+    ``rows`` bounds the number of vectors. A place is block * 2^32 + position. Blocks are written once to the shared folder, where the tasks read
+    them, so the vectors aren't shuffled once for every pair.
     """
     spark = distinct.sparkSession
-    block_rows = min(block_rows, max(2_048, -(-rows // 6)))  # a small collection is cut into a few blocks too, so that all cores have pairs
     n = max(1, -(-rows // block_rows))
     blocked = distinct.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(n)).cast("int"))
 
     def pack(table: pa.Table) -> pa.Table:
-        flat = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        x = _unit(flat, dim)
-        return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "keys": pa.array([table.column("key").to_pylist()], pa.list_(pa.string())), "data": pa.array([x.tobytes()], pa.binary())})
+        return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "keys": pa.array([table.column("key").to_pylist()], pa.list_(pa.binary())), "data": pa.array([b"".join(table.column("vector").to_pylist())], pa.binary())})
 
-    schema = "block int, keys array<string>, data binary"
+    schema = "block int, keys array<binary>, data binary"
     path = written(blocked.groupBy("block").applyInArrow(pack, schema), "block")
     packed = spark.read.schema(schema).parquet(path)
     places = packed.select(F.col("block"), F.posexplode("keys").alias("at", "key")).select("key", (F.shiftleft(F.col("block").cast("long"), 32) + F.col("at")).alias("place"))
-    pairs = spark.range(n * n).select((F.col("id") / n).cast("int").alias("p"), (F.col("id") % n).cast("int").alias("q")).filter("p <= q").repartition(n * (n + 1) // 2, "p", "q")
 
     def block(i: int) -> np.ndarray | None:
-        files, folder = fs.FileSystem.from_uri(f"{path}/block={i}")
+        files, folder = _open(f"{path}/block={i}")
         if files.get_file_info(folder).type == fs.FileType.NotFound:
             return None
         return np.frombuffer(pq.read_table(folder, columns=["data"], filesystem=files, partitioning=None).column("data")[0].as_py(), np.float32).reshape(-1, dim)
 
     def tiles(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for p, q in zip(part.column("p").to_pylist(), part.column("q").to_pylist()):
-                a, b = block(p), None if p == q else block(q)
-                if a is None or (b is None and p != q):
+            for p in part.column("id").to_pylist():
+                a = block(p)
+                if a is None:
                     continue
-                left, right = join_blocks(a, b, k, least)
-                yield _emit(left, p, q, k)
-                if p != q:
-                    yield _emit(right, q, p, k)
-
-    return places, pairs.mapInArrow(tiles, "a long, b long, similarity double")
-
+                heaps = Heaps(len(a), k, least)
+                join_blocks(heaps, a, None, k, p << 32)
+                for q in [*range(p + 1, n), *range(p)]:  # tasks begin at different blocks
+                    if (b := block(q)) is not None:
+                        join_blocks(heaps, a, b, k, q << 32)
+                yield _emit(heaps, p << 32, k)
 
-def merge(found: DataFrame, k: int = K) -> DataFrame:
-    """The k best of the candidates of each place; at most k come from each pair of blocks."""
-    best = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
-    return found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).drop("r")
+    return places, spark.range(0, n, 1, n).mapInArrow(tiles, "a long, b long, similarity double")
 
 
 def nearest(rows: DataFrame, k: int = K, least: float = -2.0, dim: int = DIM, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(chunk_id, neighbour_id, similarity, rank): the k best others of similarity at least ``least`` of every id."""
-    vectors = keyed(rows, dim)
+    vectors = kept(keyed(rows, dim), "none")
     ids = cut(vectors.groupBy("id").agg(F.min("key").alias("key"), F.max("key").alias("last")))
     members, differing = ids.select("id", "key"), ids.filter("key <> last").select("id", F.col("key").alias("kept"))
     vectors = vectors.join(small(differing), "id", "left").filter(F.col("kept").isNull() | (F.col("kept") == F.col("key")))
-    distinct = vectors.groupBy("key").agg(F.min("embedding").alias("embedding"))
-    places, found = block_join(distinct, members.count(), k, least, dim, block_rows)
+    distinct = vectors.groupBy("key").agg(F.min("vector").alias("vector"))  # copies go map-side
+    places, top = block_join(distinct, members.count(), k, least, dim, block_rows)
     # in each class the k + 1 least ids are enough, for any member and from any other class
     first = Window.partitionBy("key").orderBy("id")
     heads = members.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k + 1).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     named = places.join(heads, "key").select("place", "key", "ids")
-    top = merge(found, k)
     across = (
         top.join(named.select(F.col("place").alias("b"), "ids"), "b")
         .join(named.select(F.col("place").alias("a"), "key"), "a")

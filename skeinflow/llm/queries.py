@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skeinflow.functions.session import table
+from skeinflow.operators import similarity
 from skeinflow.llm import bisection, credentials, encoding, mixing, neighbours, packing, provenance, subjects
 
 QUERIES: dict = {}
@@ -37,6 +38,26 @@ def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.nearest(table(spark, d, "chunks"))
 
 
+@query
+def p2_search(spark: SparkSession, d: str) -> DataFrame:
+    """The neighbours of a fiftieth of the chunks against all, with the similarity in double precision from the embeddings themselves: what the operator found, to be held against brute force."""
+    chunks = table(spark, d, "chunks")
+    asked = F.conv(F.substring(F.sha2("chunk_id", 256), 1, 8), 16, 10).cast("long") % 50 == 0
+    found = neighbours.nearest(chunks).filter(asked)
+    each = chunks.filter("embedding is not null").select("id", "embedding").dropDuplicates(["id"])
+    mine = found.join(each.select(F.col("id").alias("chunk_id"), F.col("embedding").alias("x")), "chunk_id").join(each.select(F.col("id").alias("neighbour_id"), F.col("embedding").alias("y")), "neighbour_id")
+    exact = mine.select("chunk_id", "neighbour_id", F.round(similarity.cosine(F.col("x"), F.col("y")), 8).alias("similarity"))
+    order = Window.partitionBy("chunk_id").orderBy(F.desc("similarity"), "neighbour_id")
+    return exact.withColumn("rank", F.row_number().over(order))
+
+
+ORACLE["p2_search"] = """
+WITH v AS (SELECT id, any_value(embedding)::DOUBLE[] AS e FROM chunks WHERE embedding IS NOT NULL AND len(embedding) = 64 GROUP BY id),
+     w AS (SELECT id, e FROM v WHERE list_sum(list_transform(e, lambda x: x * x)) > 0),
+     q AS (SELECT id, e FROM w WHERE ('0x' || substr(sha256(id), 1, 8))::BIGINT % 50 = 0),
+     s AS (SELECT q.id AS chunk_id, w.id AS neighbour_id, round(list_cosine_similarity(q.e, w.e), 8) AS similarity FROM q, w WHERE q.id <> w.id),
+     r AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY similarity DESC, neighbour_id) AS rank FROM s)
+SELECT chunk_id, neighbour_id, similarity, rank FROM r WHERE rank <= 10"""
 ORACLE["p2_found"] = """
 WITH v AS (SELECT id, any_value(embedding)::DOUBLE[] AS e FROM chunks WHERE embedding IS NOT NULL AND len(embedding) = 64 GROUP BY id),
      w AS (SELECT id, e FROM v WHERE list_sum(list_transform(e, lambda x: x * x)) > 0),

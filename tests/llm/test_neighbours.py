@@ -17,13 +17,40 @@ def made(n, seed=0):
 @pytest.mark.parametrize("least", [-2.0, 0.3, 0.9])
 def test_tiles_give_the_k_best(own, least):
     a, b = made(2500), made(1300, 1)
-    left, right = N.join_blocks(a, None if own else b, 10, least)
+    heaps = N.Heaps(len(a), 10, least)
+    N.join_blocks(heaps, a, None if own else b, 10, 7)
     s = a.astype(float) @ (a if own else b).astype(float).T
     if own:
         np.fill_diagonal(s, -9)
-    for heaps, m in [(left, s)] + ([] if own else [(right, s.T)]):
-        want, got = -np.sort(-m, axis=1)[:, :10], -np.sort(-heaps.value, axis=1)[:, :10]
-        assert np.abs(np.where(want >= least, want, -9) - np.where(got >= least, got, -9)).max() < 1e-6
+    want, got = -np.sort(-s, axis=1)[:, :10], -np.sort(-heaps.value, axis=1)[:, :10]
+    assert np.abs(np.where(want >= least, want, -9) - np.where(got >= least, got, -9)).max() < 1e-6
+    best = heaps.other[np.arange(len(a)), heaps.value.argmax(axis=1)]
+    assert (best[want[:, 0] > max(least, -1)] == s.argmax(axis=1)[want[:, 0] > max(least, -1)] + 7).all()
+
+
+def test_heaps_over_many_blocks():
+    """Thresholds carried from block to block lose no neighbour."""
+    x = made(4000)
+    heaps = N.Heaps(1000, 10, -2.0)
+    N.join_blocks(heaps, x[:1000], None, 10)
+    for at in range(1000, 4000, 700):
+        N.join_blocks(heaps, x[:1000], x[at : at + 700], 10, at)
+    s = x[:1000].astype(float) @ x.astype(float).T
+    np.fill_diagonal(s, -9)
+    assert np.abs(np.sort(-s, axis=1)[:, :10] - np.sort(-heaps.value, axis=1)[:, :10]).max() < 1e-6
+
+
+def test_pairs_that_leave_the_tasks_do_not_grow_with_the_blocks(spark):
+    df = spark.createDataFrame([(f"c{i}", v.tolist(), "k", 1) for i, v in enumerate(made(400))], SCHEMA)
+    distinct = N.keyed(df).groupBy("key").agg({"vector": "min"}).withColumnRenamed("min(vector)", "vector")
+    found = {rows: N.block_join(distinct, 400, block_rows=rows)[1] for rows in (200, 25)}
+    assert [f.count() for f in found.values()] == [4000, 4000]
+    total = [round(f.agg({"similarity": "sum"}).first()[0], 4) for f in found.values()]
+    assert total[0] == total[1]
+
+
+def test_schemes():
+    assert N._open("file:/tmp")[1] == "/tmp"
 
 
 def test_quantisation_bound():
