@@ -205,6 +205,7 @@ def nearest(rows: DataFrame, k: int = K, least: float = -2.0, dim: int = DIM, bl
     vectors = vectors.join(small(differing), "id", "left").filter(F.col("kept").isNull() | (F.col("kept") == F.col("key")))
     distinct = vectors.groupBy("key").agg(F.min("vector").alias("vector"))  # copies go map-side
     places, top = block_join(distinct, members.count(), k, least, dim, block_rows)
+    top = kept(top, "none")  # evaluated once, and joined by its true size
     # in each class the k + 1 least ids are enough, for any member and from any other class
     first = Window.partitionBy("key").orderBy("id")
     heads = members.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k + 1).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
