@@ -41,25 +41,31 @@ class Engine:
 
     def selected(self, query: str, vector: list[float], budget: int = 8000, policy: str = "greedy", sources: list[str] | None = None, imports: bool = True, merge: bool = True, diversity: bool = False) -> DataFrame:
         """The chunks for a query within a budget; ``policy`` prefix stops at the first that doesn't fit, without rescoring or joining."""
+        return self._chosen(self.candidates(vector, sources=sources), query, budget, policy, imports, merge, diversity)
+
+    def _chosen(self, candidates: DataFrame, query: str, budget: int, policy: str = "greedy", imports: bool = True, merge: bool = True, diversity: bool = False) -> DataFrame:
         order = [F.desc("score"), F.desc("base"), F.desc("similarity"), F.col("id")]
-        candidates = self.candidates(vector, sources=sources)
         if policy == "prefix":
             plain = candidates.withColumns({"score": F.col("similarity"), "base": F.col("similarity"), "tokens": F.ceil(F.length("content") / 4)})
             return B.prefix(plain, budget, [], order).drop("running")
         counted = candidates.withColumn("tokens", F.when(F.col("tokens") >= 1, F.col("tokens")).otherwise(F.ceil(F.length("content") / 4)))
         ranked = ranking.rank(counted, query, self.edges if imports else None, diversity)
         kept = B.greedy(ranked, budget, [], order)
-        if not merge:
-            return kept
+        return self._merged(kept) if merge else kept
+
+    @staticmethod
+    def _merged(kept: DataFrame) -> DataFrame:
         lined = kept.withColumns({"start_line": F.coalesce("start_line", F.lit(1)), "end_line": F.coalesce("end_line", "start_line", F.lit(1))})
         return B.merge_adjacent(lined)
 
     def select(self, query: str, vector: list[float], budget: int = 8000, **options: Any) -> Selection:
         """A selection with its figures: tokens before joining, chunks after."""
-        before = self.selected(query, vector, budget, **{**options, "merge": False}).agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).first().t
-        chunks = self.selected(query, vector, budget, **options).persist()
-        considered = self.candidates(vector, sources=options.get("sources")).count()
-        return Selection(chunks, {"totalTokens": before, "chunksIncluded": chunks.count(), "chunksConsidered": considered, "budget": budget})
+        merge = options.pop("merge", True) and options.get("policy") != "prefix"
+        candidates = self.candidates(vector, sources=options.pop("sources", None))
+        kept = cut(self._chosen(candidates, query, budget, merge=False, **options))  # at most as many rows as candidates
+        chunks = cut(self._merged(kept)) if merge else kept
+        before = kept.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).first().t
+        return Selection(chunks, {"totalTokens": before, "chunksIncluded": chunks.count(), "chunksConsidered": candidates.count(), "budget": budget})
 
     def index(self, discovered: DataFrame, stored: DataFrame, force: bool = False, **options: Any) -> tuple[DataFrame, DataFrame]:
         """(changes, chunks after the run): only new and changed files are cut again; ``force`` cuts all, and removed files go in either case."""

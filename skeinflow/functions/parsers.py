@@ -106,7 +106,7 @@ def block_end(lines: list[str], start: int) -> int:
             opened |= c == "{"
         if opened and depth <= 0:
             return n + 1
-        if not opened and (code.rstrip().endswith(";") or n > start + 20):
+        if not opened and (code.rstrip().endswith(";") or (n > start and not code.strip())):  # without braces: up to a semicolon or a blank line
             return n + 1
     return len(lines)
 

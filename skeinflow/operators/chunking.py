@@ -97,8 +97,12 @@ def chunk_files(files: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_O
 
 
 def files_of(chunks: DataFrame) -> DataFrame:
-    """(source_id, file_path, content): the text of each file from its distinct chunks, in order of their lines, without a sign between."""
-    distinct = chunks.select("id", "source_id", "file_path", "start_line", "content").dropDuplicates(["id"])
+    """(source_id, file_path, content): the text of each file from its distinct chunks, in order of their lines; a chunk that doesn't end a line ends it here.
+
+    A file is one row, as it was before it was cut.
+    """
+    line = F.when(F.col("content").endswith("\n") | (F.col("content") == ""), F.col("content")).otherwise(F.concat("content", F.lit("\n")))
+    distinct = chunks.filter("content is not null").select("id", "source_id", "file_path", "start_line", line.alias("content")).dropDuplicates(["id"])
     return distinct.groupBy("source_id", "file_path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.coalesce("start_line", F.lit(1)).alias("n"), "id", "content"))), lambda x: x["content"]), "").alias("content"))
 
 

@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,10 +14,32 @@ from skeinflow.functions import parsers
 from skeinflow.functions.text import token_count
 
 #: The language of a fenced block by the file's ending.
-LANGUAGES = dict(
-    pair.split(":")
-    for pair in "ts:typescript tsx:tsx js:javascript jsx:jsx json:json md:markdown py:python rb:ruby go:go rs:rust java:java kt:kotlin swift:swift c:c cpp:cpp h:c hpp:cpp cs:csharp php:php css:css html:html yml:yaml yaml:yaml sql:sql sh:bash".split()
-)
+LANGUAGES = {
+    "ts": "typescript",
+    "tsx": "tsx",
+    "js": "javascript",
+    "jsx": "jsx",
+    "py": "python",
+    "rb": "ruby",
+    "go": "go",
+    "rs": "rust",
+    "java": "java",
+    "kt": "kotlin",
+    "cs": "csharp",
+    "cpp": "cpp",
+    "c": "c",
+    "h": "c",
+    "hpp": "cpp",
+    "md": "markdown",
+    "json": "json",
+    "yaml": "yaml",
+    "yml": "yaml",
+    "toml": "toml",
+    "sql": "sql",
+    "sh": "bash",
+    "bash": "bash",
+    "zsh": "bash",
+}
 
 
 @F.pandas_udf(T.StringType())
@@ -80,6 +102,16 @@ def render(rows: Iterator[dict], query: str, considered: int, format: str = "mar
     return "\n".join(out)
 
 
+def render_plainly(format: str = "markdown") -> Column:
+    """A chunk as the hosted selection gives it: a heading and a fenced block, an element with its content as it is, or a line comment above it."""
+    lines = F.concat(F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"))
+    if format == "markdown":
+        return F.concat(F.lit("## "), "file_path", F.lit(" (lines "), lines, F.lit(")\n\n```\n"), "content", F.lit("\n```"))
+    if format == "xml":
+        return F.concat(F.lit('<file path="'), "file_path", F.lit('" lines="'), lines, F.lit('">\n'), "content", F.lit("\n</file>"))
+    return F.concat(F.lit("// "), "file_path", F.lit(":"), lines, F.lit("\n"), "content")
+
+
 def render_all(selected: DataFrame, format: str = "markdown", mode: str = "full") -> DataFrame:
     """(query_id, text) of many selections at once; one group is one query's bounded selection."""
 

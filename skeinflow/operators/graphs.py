@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinflow.functions.session import cut
@@ -10,18 +15,107 @@ from skeinflow.functions.session import cut
 #: Files that can import, and what a specifier without an ending may stand for, in order.
 IMPORTING = ("ts", "tsx", "js", "jsx", "mjs", "cjs")
 ENDINGS = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
-_Q = r"""['"]([^'"]+)['"]"""
-#: (kind, pattern, group of names, group of the default, group of the specifier, group that marks a type import); the first that fits a line holds.
-STATEMENTS = (
-    ("named", r"^import\s+(type\s+)?\{([^}]+)\}\s+from\s+" + _Q, 2, 0, 3, 1),
-    ("mixed", r"^import\s+(\w+)\s*,\s*\{([^}]+)\}\s+from\s+" + _Q, 2, 1, 3, 0),
-    ("namespace", r"^import\s+\*\s+as\s+(\w+)\s+from\s+" + _Q, 0, 1, 2, 0),
-    ("default", r"^import\s+(\w+)\s+from\s+" + _Q, 0, 1, 2, 0),
-    ("effect", r"^import\s+" + _Q, 0, 0, 1, 0),
-    ("export", r"^export\s+(?:\*|\{[^}]*\})(?:\s+as\s+\w+)?\s+from\s+" + _Q, 0, 0, 1, 0),
-    ("require", r"require\s*\(\s*" + _Q + r"\s*\)", 0, 0, 1, 0),
-    ("dynamic", r"import\s*\(\s*" + _Q + r"\s*\)", 0, 0, 1, 0),
-)
+IMPORTS = "source_id string, file_path string, line int, specifier string, form string, names array<string>, default_name string, type_only boolean"
+_TOKEN = re.compile(r"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\])*`|[A-Za-z_$][\w$]*|\S")
+
+
+class Import(NamedTuple):
+    line: int
+    specifier: str
+    form: str
+    names: list[str]
+    default_name: str | None
+    type_only: bool
+
+
+class _Reader:
+    """The words of a script, without comments, read one by one."""
+
+    def __init__(self, text: str):
+        found = [m for m in _TOKEN.finditer(text) if not m.group().startswith(("//", "/*"))]
+        self.words, self.places, self.at = [m.group() for m in found], [m.start() for m in found], 0
+
+    def peek(self, ahead: int = 0) -> str:
+        return self.words[self.at + ahead] if self.at + ahead < len(self.words) else ""
+
+    def take(self) -> str:
+        word = self.peek()
+        self.at += 1
+        return word
+
+    def string(self) -> str | None:
+        """The content of the quoted word that comes next, if one does."""
+        if self.peek()[:1] in ("'", '"') and len(self.peek()) > 2:
+            return self.take()[1:-1]
+        return None
+
+    def braces(self) -> list[str]:
+        """The names between braces; of ``a as b`` the first."""
+        out: list[str] = []
+        fresh = True
+        while (word := self.take()) not in ("}", ""):
+            if word == ",":
+                fresh = True
+            elif fresh and not (word == "type" and self.peek() not in (",", "}", "as")):
+                out.append(word)
+                fresh = False
+        return out
+
+
+def read_imports(text: str) -> list[Import]:
+    """What a script imports, requires and exports again, in order, over as many lines as a statement takes."""
+    if "import" not in text and "require" not in text and "export" not in text:
+        return []
+    r, out, line, seen = _Reader(text), [], 1, 0
+    while r.at < len(r.words):
+        begin, before, word = r.at, r.words[r.at - 1] if r.at else "", r.take()
+        if word not in ("import", "require", "export") or before == ".":
+            continue
+        names: list[str] = []
+        default, typed, form, said = None, False, "", None
+        if word == "export":
+            if r.peek() == "type":
+                r.take()
+            if r.peek() == "*":
+                r.take()
+            elif r.peek() == "{":
+                r.take()
+                r.braces()
+            else:
+                continue
+            if r.peek() == "as":
+                r.at += 2
+            if r.peek() == "from":
+                r.take()
+                form, said = "export", r.string()
+        elif r.peek() == "(":
+            r.take()
+            form, said = "require" if word == "require" else "dynamic", r.string()
+        elif word == "import" and (said := r.string()) is not None:
+            form = "effect"
+        elif word == "import":
+            if r.peek() == "type" and r.peek(1) not in ("from", ","):
+                typed = bool(r.take())
+            if r.peek() not in ("{", "*") and r.peek().isidentifier():
+                default, form = r.take(), "default"
+                if r.peek() == ",":
+                    r.take()
+            if r.peek() == "*" and r.peek(1) == "as":
+                r.at += 2
+                default, form = r.take(), "namespace"
+            elif r.peek() == "{":
+                r.take()
+                names, form = r.braces(), "mixed" if default else "named"
+            if r.peek() == "from":
+                r.take()
+                said = r.string()
+        if said is None:
+            r.at = begin + 1  # no statement: read on behind the word
+            continue
+        line += text.count("\n", seen, r.places[begin])
+        seen = r.places[begin]
+        out.append(Import(line, said, form, names, default, typed))
+    return out
 
 
 def import_kind(specifier: Column) -> Column:
@@ -29,29 +123,16 @@ def import_kind(specifier: Column) -> Column:
 
 
 def parse_imports(files: DataFrame) -> DataFrame:
-    """(source_id, file_path, line, specifier, kind, form, names, default_name, type_only) of each import statement on one line."""
+    """(source_id, file_path, line, specifier, kind, form, names, default_name, type_only) of each import statement of ``files`` (source_id, file_path, content)."""
     ending = F.lower(F.regexp_extract("file_path", r"\.([^./]+)$", 1))
-    lines = files.filter(ending.isin(*IMPORTING)).select("source_id", "file_path", F.posexplode(F.split("content", "\n", -1)).alias("at", "text"))
-    # a cheap word test first; comments hold no imports
-    lines = lines.filter(F.col("text").rlike("import|require|export") & ~F.ltrim("text").rlike(r"^(//|\*)"))
-    clean = F.regexp_replace("text", "\r$", "")
-    picked = F.coalesce(
-        *(
-            F.when(
-                clean.rlike(rule),
-                F.struct(
-                    F.lit(form).alias("form"),
-                    F.regexp_extract(clean, rule, spec).alias("specifier"),
-                    (F.filter(F.transform(F.split(F.regexp_extract(clean, rule, names), ","), lambda n: F.trim(F.element_at(F.split(F.trim(n), r"\s+as\s+"), 1))), lambda n: n != "") if names else F.array().cast("array<string>")).alias("names"),
-                    (F.regexp_extract(clean, rule, default) if default else F.lit(None).cast("string")).alias("default_name"),
-                    (F.regexp_extract(clean, rule, typed) != "" if typed else F.lit(False)).alias("type_only"),
-                ),
-            )
-            for form, rule, names, default, spec, typed in STATEMENTS
-        )
-    )
-    found = lines.withColumn("i", picked).filter(F.col("i").isNotNull())
-    return found.select("source_id", "file_path", (F.col("at") + 1).alias("line"), F.col("i.specifier").alias("specifier"), import_kind(F.col("i.specifier")).alias("kind"), F.col("i.form").alias("form"), "i.names", "i.default_name", "i.type_only")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            rows = [(s, f, *i) for s, f, c in zip(p.source_id, p.file_path, p.content) for i in read_imports(c)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in IMPORTS.split(", ")])
+
+    found = files.filter(ending.isin(*IMPORTING) & F.col("content").isNotNull()).select("source_id", "file_path", "content").mapInPandas(run, IMPORTS)
+    return found.select("source_id", "file_path", "line", "specifier", import_kind(F.col("specifier")).alias("kind"), "form", "names", "default_name", "type_only")
 
 
 def normal_path(path: Column) -> Column:
@@ -72,7 +153,7 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def importers(edges: DataFrame) -> DataFrame:
-    """(source_id, file_path, importers, imported_by): reverse edges, each importer once."""
+    """(source_id, file_path, importers, imported_by): reverse edges, each importer once; the list of a file is as long as its importers, at most the files of its source."""
     return edges.select("source_id", "src", "dst").distinct().groupBy("source_id", F.col("dst").alias("file_path")).agg(F.count(F.lit(1)).alias("importers"), F.sort_array(F.collect_list("src")).alias("imported_by"))
 
 
@@ -91,9 +172,3 @@ def related(edges: DataFrame, seeds: DataFrame, depth: int = 1) -> DataFrame:
             break
         seen = cut(seen.unionByName(frontier))
     return seen.filter("depth > 0")
-
-
-def first_defined(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")

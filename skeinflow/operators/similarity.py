@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinflow.functions.session import kept
+
 #: Queries up to which every task holds them all.
 MATRIX_QUERIES = 2_000
 
@@ -44,14 +46,21 @@ def search_many(chunks: DataFrame, queries: DataFrame, limit: int = 50) -> DataF
     """(query_id, id, similarity, rank) for each row (query_id, vector) of a set of queries.
 
     Up to ``MATRIX_QUERIES`` queries, which are counted first, are held by every task as a matrix: a batch of chunks is one matrix product and hands on its own best
-    of each query. More queries are joined to the chunks in the engine. A chunk delivered twice counts once.
+    of each query. More queries are dealt into batches of about half as many, each a pass over the chunks of its own whose result is kept. A chunk delivered twice counts once.
     """
     rows = chunks.filter(F.col("embedding").isNotNull()).select("id", "embedding")
-    some = queries.select("query_id", "vector").limit(MATRIX_QUERIES + 1).collect()
-    if len(some) <= MATRIX_QUERIES:
-        pairs = _by_matrix(rows, some, limit, queries.schema["query_id"].dataType.simpleString())
+    asked, key = queries.select("query_id", "vector"), queries.schema["query_id"].dataType.simpleString()
+    number = asked.count()
+    if number <= MATRIX_QUERIES:
+        pairs = _by_matrix(rows, asked.collect(), limit, key)
     else:
-        pairs = rows.join(queries.select("query_id", "vector"), F.size("embedding") == F.size("vector")).select("query_id", "id", cosine(F.col("embedding"), F.col("vector")).alias("similarity"))
+        asked = kept(asked)
+        batches = -(-2 * number // MATRIX_QUERIES)
+        pairs = None
+        for b in range(batches):
+            batch = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(batches)) == b).collect()  # about half of MATRIX_QUERIES
+            found = kept(_by_matrix(rows, batch, limit, key))
+            pairs = found if pairs is None else pairs.unionByName(found)
     distinct = pairs.groupBy("query_id", "id").agg(F.max("similarity").alias("similarity"))
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return distinct.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit)

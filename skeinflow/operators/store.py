@@ -8,7 +8,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -73,8 +73,7 @@ def next_version(snapshots: DataFrame) -> DataFrame:
 
 def latest_snapshot(snapshots: DataFrame) -> DataFrame:
     """The newest snapshot of each project."""
-    w = Window.partitionBy("project_id").orderBy(F.desc("version"))
-    return snapshots.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    return snapshots.groupBy("project_id").agg(F.max_by(F.struct("*"), "version").alias("r")).select("r.*")
 
 
 def index_stats(sources: DataFrame, files: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -122,6 +121,19 @@ def recent_history(history: DataFrame, limit: int = 20) -> DataFrame:
     return history.dropDuplicates(["id"]).orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
 
 
+def record(history: DataFrame, requests: DataFrame) -> DataFrame:
+    """``history`` with new requests (sources as an array become one text), whose ids follow the greatest so far in order of their time."""
+    last = history.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
+    n = F.row_number().over(Window.orderBy("created_at", "query"))  # the requests since the last record
+    fresh = requests.withColumn("sources", F.array_join("sources", ",")).withColumn("n", n).crossJoin(F.broadcast(last)).withColumn("id", (F.col("last") + F.col("n")).cast("long"))
+    return history.unionByName(fresh.select(*history.columns))
+
+
+def clear(history: DataFrame, before: Column | None = None) -> DataFrame:
+    """``history`` without the requests before a time, or empty."""
+    return history.filter(F.lit(False)) if before is None else history.filter(F.col("created_at") >= before)
+
+
 def page(rows: DataFrame, order: list, limit: int = 20, offset: int = 0) -> DataFrame:
     """One page of at most 100 rows."""
     return rows.orderBy(*order).offset(offset).limit(min(limit, 100))

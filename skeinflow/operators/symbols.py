@@ -6,14 +6,15 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinflow.functions import parsers
+from skeinflow.functions.session import kept
 
 #: Words before a bracket that are no calls.
-NO_CALLS = frozenset("if else while for switch catch return throw new typeof import export const let var function class interface type async await try finally".split())
-_LANGUAGES = ("ts", "tsx", "js", "jsx", "py", "go", "rs")
+NO_CALLS = frozenset({"if", "else", "while", "for", "switch", "catch", "return", "throw", "new", "typeof", "import", "export", "const", "let", "var", "function", "class", "interface", "type", "async", "await", "try", "finally"})
+_LANGUAGES = ("ts", "tsx", "js", "jsx", "mjs", "cjs", "py", "go", "rs", "java", "cs", "php")
 _CALL = re.compile(r"\b(\w+)\s*\(", re.ASCII)
 _METHOD = re.compile(r"\s*(?:(?:public|private|protected|static|async)\s+)*(\w+)\s*\([^)]*\)\s*[:{]", re.ASCII)
 _PYTHON = re.compile(r"\s*(?:async\s+)?(def|class)\s+(\w+)")
@@ -70,38 +71,60 @@ def search(defined: DataFrame, query: str, exact: bool = False, limit: int = 20)
     return rows.orderBy((name == q).desc(), F.length("name"), "name", "file_path", "source_id", "start_line", "chunk_id").limit(limit)
 
 
-def calls(chunks: DataFrame) -> DataFrame:
-    """The calls within each definition of a chunk: names that start in lower case, or are defined in the chunk; the caller itself is left out."""
+def _calls_in(content: str, found: list[tuple[str, str, int, int, str]]) -> list[tuple[str, int, str, int, str]]:
+    """(caller, its line, callee, line, text) of the calls within each definition: names that start in lower case, or are defined in the text; the caller itself is left out."""
+    lines, out = content.split("\n"), []
+    own = [d for d in found if d[1] in ("function", "method", "constant")]
+    known = {d[0] for d in own}
+    for name, _, a, z, _ in own:
+        for k in range(a - 1, min(z, len(lines))):
+            line = lines[k].strip()
+            if line.startswith(("//", "#", "*")):
+                continue
+            for m in _CALL.finditer(lines[k]):
+                callee = m.group(1)
+                if callee not in NO_CALLS and callee != name and (callee in known or not callee[0].isupper()):
+                    out.append((name, a, callee, k + 1, line[:80]))
+    return out
+
+
+PARSED = f"call boolean, {CALLS}, kind string"
+
+
+def _parsed(chunks: DataFrame) -> DataFrame:
+    """Definitions (callee null) and calls of each distinct chunk, by one pass over the contents, kept for both uses."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             rows = []
             for s, f, i, c, n in zip(p.source_id, p.file_path, p.id, p.content, p.start_line):
-                lines = c.split("\n")
-                own = [d for d in definitions_in(c, f) if d[1] in ("function", "method", "constant")]
-                known = {d[0] for d in own}
-                for name, _, a, z, _ in own:
-                    for k in range(a - 1, min(z, len(lines))):
-                        line = lines[k].strip()
-                        if line.startswith(("//", "#", "*")):
-                            continue
-                        for m in _CALL.finditer(lines[k]):
-                            callee = m.group(1)
-                            if callee not in NO_CALLS and callee != name and (callee in known or not callee[0].isupper()):
-                                rows.append((s, f, i, name, int(n) + a - 1, callee, int(n) + k, line[:80]))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in CALLS.split(", ")])
-
-    return _code(chunks).mapInPandas(run, CALLS).dropDuplicates(["chunk_id", "caller", "callee", "line"])
+                found = definitions_in(c, f)
+                rows += [(False, s, f, i, name, int(n) + a - 1, None, int(n) + a - 1, said[:80], kind) for name, kind, a, _, said in found]
+                rows += [(True, s, f, i, name, int(n) + a - 1, callee, int(n) + k - 1, said, None) for name, a, callee, k, said in _calls_in(c, found)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PARSED.split(", ")])
+
+    return kept(_code(chunks).mapInPandas(run, PARSED))
+
+
+def calls(chunks: DataFrame) -> DataFrame:
+    """The calls within each definition of a chunk, each once."""
+    return _parsed(chunks).filter("call").drop("call", "kind").dropDuplicates(["chunk_id", "caller", "callee", "line"])
 
 
 def call_edges(chunks: DataFrame) -> DataFrame:
-    """(source_id, caller_file, caller, callee, line, context, callee_file): each caller and callee of a file once, the callee's file being the first that defines it, or "(external)"."""
-    w = Window.partitionBy("source_id", "name").orderBy("file_path", "start_line")
-    first = definitions(chunks).filter(F.col("kind").isin("function", "method", "constant")).withColumn("r", F.row_number().over(w)).filter("r = 1").select(F.col("source_id").alias("s"), F.col("name").alias("callee_name"), F.col("file_path").alias("callee_file"))
-    once = Window.partitionBy("source_id", "file_path", "caller", "callee").orderBy("line", "chunk_id")
-    made = calls(chunks).withColumn("r", F.row_number().over(once)).filter("r = 1")
+    """(source_id, caller_file, caller, callee, first_line, line, context, callee_file): each caller and callee of a file once, with the first line and the last call's line and text.
+
+    The callee's file is the first that defines it, or "(external)". Both sides add up map-side, so a name that is everywhere isn't one task.
+    """
+    parsed = _parsed(chunks)
+    first = (
+        parsed.filter(~F.col("call") & F.col("kind").isin("function", "method", "constant"))
+        .groupBy(F.col("source_id").alias("s"), F.col("caller").alias("callee_name"))
+        .agg(F.min_by("file_path", F.struct("file_path", "line")).alias("callee_file"))
+    )
+    made = parsed.filter("call").groupBy("source_id", "file_path", "caller", "callee").agg(F.min("line").alias("first_line"), F.max(F.struct("line", "chunk_id", "context")).alias("last"))
     joined = made.join(first, (F.col("source_id") == F.col("s")) & (F.col("callee") == F.col("callee_name")), "left")
-    return joined.select("source_id", F.col("file_path").alias("caller_file"), "caller", "callee", "line", "context", F.coalesce("callee_file", F.lit("(external)")).alias("callee_file"))
+    return joined.select("source_id", F.col("file_path").alias("caller_file"), "caller", "callee", "first_line", F.col("last.line").alias("line"), F.col("last.context").alias("context"), F.coalesce("callee_file", F.lit("(external)")).alias("callee_file"))
 
 
 def call_graph(edges: DataFrame, target: str) -> DataFrame:

@@ -22,14 +22,16 @@ def monthly(events: DataFrame) -> DataFrame:
 def sliding_limit(events: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
     """Each request with the requests of its organisation in the last ``seconds`` (its own counted, one exactly that old not) and whether it is let through.
 
-    Windows are taken within (org, hour) slices that also hold the last ``seconds`` of the slice before, so a large organisation is many tasks.
+    Windows are taken within (org, slice) parts; a slice is as long as the window and also holds the requests of the slice before, so a window reaches over two slices at
+    most, whatever its length, and a large organisation is many tasks.
     """
+    span = max(1, seconds) * 1000
     ms = F.floor(F.unix_micros("created_at") / 1000)
     rows = distinct_events(events).select("id", "org_id", ms.alias("ms"))
-    hour = F.floor(F.col("ms") / 3_600_000)
-    spread = rows.withColumn("slice", F.explode(F.when(F.floor((F.col("ms") + seconds * 1000) / 3_600_000) > hour, F.array(hour, hour + 1)).otherwise(F.array(hour))))
-    w = Window.partitionBy("org_id", "slice").orderBy("ms").rangeBetween(-(seconds * 1000 - 1), 0)
-    counted = spread.withColumn("requests", F.count(F.lit(1)).over(w)).filter(F.col("slice") == F.floor(F.col("ms") / 3_600_000))
+    own = F.floor(F.col("ms") / span)
+    spread = rows.withColumn("slice", F.explode(F.array(own, own + 1)))
+    w = Window.partitionBy("org_id", "slice").orderBy("ms").rangeBetween(-(span - 1), 0)
+    counted = spread.withColumn("requests", F.count(F.lit(1)).over(w)).filter(F.col("slice") == own)
     return counted.select("id", "org_id", "requests", (F.col("requests") <= limit).alias("allowed"))
 
 

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skeinflow.engine import CANDIDATES, Engine
+from skeinflow.functions import embedding
 from skeinflow.functions import text as T
 from skeinflow.functions.session import table
 from skeinflow.operators import budget as B
-from skeinflow.operators import chunking, formatting, graphs, ranking, similarity, store, symbols, usage
+from skeinflow.operators import chunking, formatting, graphs, ranking, service, similarity, store, symbols, usage
 
 FLAGSHIP = "select_context"
 QUERIES: dict = {}
@@ -93,9 +94,9 @@ def index_stats(spark: SparkSession, d: str) -> DataFrame:
     return _micros(store.index_stats(table(spark, d, "sources"), table(spark, d, "files"), table(spark, d, "chunks")), "last_indexed", "last_chunk")
 
 
-@query("SELECT source_id, count(DISTINCT id) AS chunks, count(DISTINCT file_path) AS files, count(DISTINCT id) FILTER (WHERE embedding IS NOT NULL) AS embedded FROM chunks WHERE source_id IN ('harbor-core', 'atrium-web', 'cinder-api') GROUP BY source_id")
+@query("SELECT source_id, count(DISTINCT id) AS chunks, count(DISTINCT file_path) AS files, count(DISTINCT id) FILTER (WHERE embedding IS NOT NULL) AS embedded FROM chunks GROUP BY source_id")
 def source_coverage(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "chunks").filter(F.col("source_id").isin("harbor-core", "atrium-web", "cinder-api")).select("id", "source_id", "file_path", F.col("embedding").isNotNull().alias("e"))
+    rows = table(spark, d, "chunks").select("id", "source_id", "file_path", F.col("embedding").isNotNull().alias("e"))
     return rows.groupBy("source_id").agg(F.count_distinct("id").alias("chunks"), F.count_distinct("file_path").alias("files"), F.count_distinct(F.when(F.col("e"), F.col("id"))).alias("embedded"))
 
 
@@ -261,7 +262,26 @@ def monthly_usage(spark: SparkSession, d: str) -> DataFrame:
     return usage.monthly(table(spark, d, "usage_events"))
 
 
-@query("WITH u AS (SELECT DISTINCT id, org_id, epoch_ms(created_at) AS ms FROM usage_events), c AS (SELECT id, org_id, count(*) OVER (PARTITION BY org_id ORDER BY ms RANGE BETWEEN 3599999 PRECEDING AND CURRENT ROW) AS requests FROM u) SELECT id, org_id, requests, requests <= 3 AS allowed FROM c")
+def _sql_limit(seconds: int, limit: int) -> str:
+    return f"WITH u AS (SELECT DISTINCT id, org_id, epoch_ms(created_at) AS ms FROM usage_events), c AS (SELECT id, org_id, count(*) OVER (PARTITION BY org_id ORDER BY ms RANGE BETWEEN {seconds * 1000 - 1} PRECEDING AND CURRENT ROW) AS requests FROM u) SELECT id, org_id, requests, requests <= {limit} AS allowed FROM c"
+
+
+@query(_sql_limit(60, 1))
+def sliding_limit_minute(spark: SparkSession, d: str) -> DataFrame:
+    return usage.sliding_limit(table(spark, d, "usage_events"), 1)
+
+
+@query(_sql_limit(10_800, 3))
+def sliding_limit_hours(spark: SparkSession, d: str) -> DataFrame:
+    return usage.sliding_limit(table(spark, d, "usage_events"), 3, seconds=10_800)
+
+
+@query(_sql_limit(86_400, 10))
+def sliding_limit_day(spark: SparkSession, d: str) -> DataFrame:
+    return usage.sliding_limit(table(spark, d, "usage_events"), 10, seconds=86_400)
+
+
+@query(_sql_limit(3_600, 3))
 def sliding_rate_limit(spark: SparkSession, d: str) -> DataFrame:
     return usage.sliding_limit(table(spark, d, "usage_events"), 3, seconds=3_600)
 
@@ -352,7 +372,12 @@ def merge_adjacent(spark: SparkSession, d: str) -> DataFrame:
     return B.merge_adjacent(lined).select("source_id", "file_path", "id", "start_line", "end_line", "tokens", "chunks", F.md5("content").alias("digest"))
 
 
-@query()
+_KEPT = f"""{_ORDERED}, w AS (SELECT 0::BIGINT AS n, 0::BIGINT AS total, '' AS id, false AS kept UNION ALL SELECT o.n, CASE WHEN w.total + o.tokens <= {BUDGET} THEN w.total + o.tokens ELSE w.total END, o.id, w.total + o.tokens <= {BUDGET} FROM w JOIN o ON o.n = w.n + 1),
+lined AS (SELECT o.id, source_id, file_path, content, coalesce(start_line, 1) AS start_line, coalesce(end_line, start_line, 1) AS end_line, tokens, score FROM w JOIN o ON o.id = w.id WHERE w.kept), {_MERGE},
+joined AS (SELECT source_id, file_path, arg_min(id, nth) AS id, arg_min(start_line, nth) AS start_line, arg_max(end_line, nth) AS end_line, sum(own_tokens)::BIGINT AS tokens, max(score) AS score, string_agg(own, chr(10) ORDER BY nth) FILTER (WHERE opens = 1 OR own <> '') AS content FROM m3 GROUP BY source_id, file_path, island)"""
+
+
+@query(f"WITH RECURSIVE {_KEPT} SELECT source_id, file_path, id, start_line, end_line, tokens, round(score, 6) AS score, content FROM joined")
 def select_context(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunks")
     return _engine(spark, d).selected(QUERY, _query_vector(chunks), BUDGET).select("source_id", "file_path", "id", "start_line", "end_line", "tokens", F.round("score", 6).alias("score"), "content")
@@ -364,6 +389,18 @@ def select_prefix(spark: SparkSession, d: str) -> DataFrame:
     return _engine(spark, d).selected(QUERY, _query_vector(chunks), BUDGET, policy="prefix").select("id", "tokens", F.round("similarity", 6).alias("similarity"))
 
 
+@query(f"WITH RECURSIVE {_KEPT}, p AS (SELECT file_path, '=== ' || file_path || ' ===' || chr(10) || string_agg(content, chr(10) || chr(10) ORDER BY start_line) AS part FROM joined GROUP BY file_path) SELECT 1::BIGINT AS query_id, string_agg(part, chr(10) || chr(10) ORDER BY file_path) AS text FROM p")
+def select_plain(spark: SparkSession, d: str) -> DataFrame:
+    picked = _engine(spark, d).selected(QUERY, _query_vector(table(spark, d, "chunks")), BUDGET)
+    return formatting.render_all(picked.withColumns({"query_id": F.lit(1).cast("long"), "query": F.lit(QUERY), "considered": F.lit(CANDIDATES)}), "plain")
+
+
+@query(f"WITH {_DISTINCT} SELECT id, md5('## ' || file_path || ' (lines ' || start_line || '-' || end_line || ')' || chr(10) || chr(10) || '```' || chr(10) || content || chr(10) || '```') AS markdown, md5('<file path=\"' || file_path || '\" lines=\"' || start_line || '-' || end_line || '\">' || chr(10) || content || chr(10) || '</file>') AS xml, md5('// ' || file_path || ':' || start_line || '-' || end_line || chr(10) || content) AS plain FROM c WHERE start_line IS NOT NULL AND end_line IS NOT NULL")
+def hosted_chunks(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "chunks").filter("start_line is not null and end_line is not null")
+    return rows.select("id", *(F.md5(formatting.render_plainly(f)).alias(f) for f in ("markdown", "xml", "plain"))).distinct()
+
+
 @query()
 def select_rendered(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunks")
@@ -379,6 +416,15 @@ def importers(spark: SparkSession, d: str) -> DataFrame:
     return graphs.importers(table(spark, d, "import_edges")).withColumn("imported_by", F.array_join("imported_by", ","))
 
 
+@query("WITH e AS (SELECT DISTINCT source_id, src, dst FROM import_edges), f AS (SELECT DISTINCT source_id, src FROM e WHERE source_id || src IN (SELECT source_id || min(src) FROM e GROUP BY source_id)) SELECT DISTINCT e.source_id, e.dst AS file_path FROM e SEMI JOIN f ON e.source_id = f.source_id AND e.src = f.src ANTI JOIN f g ON e.source_id = g.source_id AND e.dst = g.src")
+def related_left(spark: SparkSession, d: str) -> DataFrame:
+    """Files that the included ones import and that aren't included themselves."""
+    edges = table(spark, d, "import_edges")
+    included = edges.groupBy("source_id").agg(F.min("src").alias("src"))
+    hit = edges.join(included, ["source_id", "src"], "left_semi").select("source_id", F.col("dst").alias("file_path")).distinct()
+    return hit.join(included.withColumnRenamed("src", "file_path"), ["source_id", "file_path"], "left_anti")
+
+
 _SEEDS = "z AS (SELECT source_id, min(src) AS file_path FROM import_edges GROUP BY source_id)"
 
 
@@ -388,12 +434,23 @@ def related_files(spark: SparkSession, d: str) -> DataFrame:
     return graphs.related(edges, edges.groupBy("source_id").agg(F.min("src").alias("file_path")), 3)
 
 
-@query()
+_IMPORTS = f"""{_DISTINCT}, f AS (SELECT source_id, file_path, string_agg(content || CASE WHEN content = '' OR ends_with(content, chr(10)) THEN '' ELSE chr(10) END, '' ORDER BY coalesce(start_line, 1), id) AS content FROM c GROUP BY ALL),
+l AS (SELECT source_id, file_path, unnest(string_split(content, chr(10))) AS text, generate_subscripts(string_split(content, chr(10)), 1)::INT AS line FROM f WHERE regexp_matches(lower(file_path), '\\.(ts|tsx|js|jsx|mjs|cjs)$')),
+n AS (SELECT *, regexp_extract(text, '^import \\{{([^}}]+)\\}} from \\x27([^\\x27]+)\\x27', ['names', 'specifier']) AS m, regexp_extract(text, 'require\\([\"\\x27]([^\"\\x27]+)[\"\\x27]\\)', 1) AS q FROM l WHERE NOT regexp_matches(ltrim(text), '^(//|[*])')),
+i AS (SELECT source_id, file_path, line, CASE WHEN m.specifier <> '' THEN m.specifier ELSE q END AS specifier, CASE WHEN m.specifier <> '' THEN 'named' ELSE 'require' END AS form, CASE WHEN m.specifier <> '' THEN array_to_string(list_transform(string_split(m.names, ','), lambda x: trim(x)), ',') ELSE '' END AS names FROM n WHERE m.specifier <> '' OR q <> '')"""
+
+
+@query(f"WITH {_IMPORTS} SELECT source_id, file_path, line, specifier, form, names, CASE WHEN starts_with(specifier, '.') THEN 'relative' WHEN starts_with(specifier, '/') THEN 'absolute' ELSE 'package' END AS kind FROM i")
 def import_statements(spark: SparkSession, d: str) -> DataFrame:
-    return graphs.parse_imports(chunking.files_of(table(spark, d, "chunks")))
+    found = graphs.parse_imports(chunking.files_of(table(spark, d, "chunks")))
+    return found.select("source_id", "file_path", "line", "specifier", "form", F.array_join("names", ",").alias("names"), "kind")
 
 
-@query()
+@query(f"""WITH {_IMPORTS}, a AS (SELECT DISTINCT source_id, file_path AS src, list_filter(string_split(regexp_replace(file_path, '[^/]*$', ''), '/'), lambda x: x <> '') AS dir, len(regexp_extract_all(specifier, '\\.\\./')) AS ups, regexp_replace(specifier, '^(\\.{{1,2}}/)+', '') AS tail FROM i WHERE starts_with(specifier, '.')),
+b AS (SELECT source_id, src, array_to_string(list_slice(dir, 1, greatest(len(dir) - ups, 0)) || [tail], '/') AS base FROM a),
+e AS (SELECT unnest(['', '.ts', '.tsx', '.js', '.jsx', '.mjs', '/index.ts', '/index.tsx', '/index.js', '/index.jsx']) AS ending, generate_subscripts([1, 2, 3, 4, 5, 6, 7, 8, 9, 10], 1) AS rank),
+h AS (SELECT b.source_id, src, base, f.file_path AS dst, row_number() OVER (PARTITION BY b.source_id, src, base ORDER BY rank) AS k FROM b, e JOIN f ON f.source_id = b.source_id AND f.file_path = base || ending)
+SELECT DISTINCT source_id, src, dst FROM h WHERE k = 1""")
 def import_graph(spark: SparkSession, d: str) -> DataFrame:
     return _engine(spark, d).imports()
 
@@ -421,9 +478,21 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
     return docs.select(F.coalesce("source", F.lit("none")).alias("source_id"), F.coalesce("file_path", F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt"))).alias("file_path"), F.col("text").alias("content"))
 
 
-@query()
+_LINES = """f AS (SELECT row_number() OVER () AS k, coalesce(source, 'none') AS source_id, coalesce(file_path, 'doc-' || doc_id || '.txt') AS file_path, text AS content FROM documents WHERE text IS NOT NULL),
+l AS (SELECT k, unnest(string_split(content, chr(10))) AS text, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM f),
+c AS (SELECT k, n, text, ceil((length(text) + 1) / 4.0)::BIGINT AS cost, sum(ceil((length(text) + 1) / 4.0)::BIGINT) OVER (PARTITION BY k ORDER BY n) AS upto, count(*) OVER (PARTITION BY k) AS lines FROM l),
+b AS (SELECT c.k, c.n, c.cost, c.upto, c.lines, max(p.n) AS back FROM c LEFT JOIN c p ON p.k = c.k AND p.n < c.n AND p.n > c.n - 60 AND (c.upto - c.cost) - (p.upto - p.cost) >= 50 GROUP BY ALL),
+w AS (SELECT k, 0::BIGINT AS n, 1::BIGINT AS start, NULL::BIGINT AS a, NULL::BIGINT AS z FROM f UNION ALL
+      SELECT w.k, b.n, CASE WHEN full_ THEN greatest(coalesce(b.back, w.start), w.start) ELSE w.start END, CASE WHEN full_ THEN w.start END, CASE WHEN full_ THEN b.n - 1 END
+      FROM (SELECT w.*, b.n > w.start AND b.upto - s.upto + s.cost > 500 AS full_ FROM w JOIN b ON b.k = w.k AND b.n = w.n + 1 JOIN b s ON s.k = w.k AND s.n = w.start) w JOIN b ON b.k = w.k AND b.n = w.n + 1),
+r AS (SELECT k, a, z, false AS last FROM w WHERE a IS NOT NULL UNION ALL SELECT w.k, w.start, w.n, true FROM w JOIN (SELECT k, max(n) AS n FROM w GROUP BY k) m USING (k, n)),
+t AS (SELECT r.k, a, z, last, string_agg(text, chr(10) ORDER BY n) AS content, sum(cost) AS cost FROM r JOIN c ON c.k = r.k AND c.n BETWEEN a AND z GROUP BY ALL)"""
+
+
+@query(f"WITH RECURSIVE {_LINES} SELECT source_id, file_path, a::INT AS start_line, z::INT AS end_line, md5(t.content) AS digest, (CASE WHEN last THEN ceil(length(t.content) / 4.0) ELSE cost END)::INT AS tokens FROM t JOIN f USING (k)")
 def line_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.chunk_files(_files(spark, d), structure=False)
+    made = chunking.chunk_files(_files(spark, d), structure=False)
+    return made.select("source_id", "file_path", "start_line", "end_line", F.md5("content").alias("digest"), "tokens")
 
 
 @query()
@@ -436,3 +505,134 @@ def structural_chunks(spark: SparkSession, d: str) -> DataFrame:
 def file_signatures(spark: SparkSession, d: str) -> DataFrame:
     files = chunking.files_of(table(spark, d, "chunks"))
     return files.select("source_id", "file_path", formatting.signatures("content", "file_path").alias("signatures"), formatting.repo_map("content", "file_path").alias("map"))
+
+
+# ---- hosted index: scopes, lookups, uploads, copies, stored symbols
+
+
+@query("SELECT DISTINCT id, org_id, event_type FROM usage_events WHERE org_id = (SELECT min(org_id) FROM usage_events) AND event_type = 'query'")
+def tenant_scope(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "usage_events")
+    org = events.agg(F.min("org_id")).first()[0]
+    return service.in_scope(events, org_id=org, event_type="query").select("id", "org_id", "event_type").distinct()
+
+
+_PROJECTS = "p AS (SELECT DISTINCT org_id, project_id AS id, 'p-' || substr(project_id, 1, 8) AS slug FROM usage_events WHERE project_id IS NOT NULL), a AS (SELECT DISTINCT org_id, CASE WHEN substr(id, 1, 1) < '8' THEN id ELSE slug END AS ref FROM p)"
+
+
+@query(f"WITH {_PROJECTS} SELECT a.org_id, a.ref, p.id, p.slug FROM a JOIN p ON p.org_id = a.org_id AND (p.id = a.ref OR (p.slug = a.ref AND NOT EXISTS (SELECT 1 FROM p q WHERE q.org_id = a.org_id AND q.id = a.ref))) QUALIFY row_number() OVER (PARTITION BY a.org_id, a.ref ORDER BY p.id) = 1")
+def project_lookup(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "usage_events").filter("project_id is not null").select("org_id", F.col("project_id").alias("id"), F.concat(F.lit("p-"), F.substring("project_id", 1, 8)).alias("slug")).distinct()
+    asked = p.select("org_id", F.when(F.substring("id", 1, 1) < "8", F.col("id")).otherwise(F.col("slug")).alias("ref"))
+    return service.by_id_or_slug(asked, p)
+
+
+@query("WITH m AS (SELECT api_key_id AS user_id, arg_min(org_id, struct_pack(t := created_at, o := org_id)) AS org_id FROM usage_events WHERE api_key_id IS NOT NULL GROUP BY 1), o AS (SELECT org_id, count(DISTINCT id) AS events FROM usage_events GROUP BY 1) SELECT user_id, org_id, events FROM m JOIN o USING (org_id)")
+def member_organisation(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "usage_events")
+    members = events.filter("api_key_id is not null").select(F.col("api_key_id").alias("user_id"), "org_id", "created_at")
+    return service.organisation_of(members, events.groupBy(F.col("org_id").alias("id")).agg(F.count_distinct("id").alias("events"))).select("user_id", "org_id", "events")
+
+
+@query("SELECT id, path, (SELECT count(*) FROM sources) AS total FROM sources ORDER BY id LIMIT 20 OFFSET 10")
+def page_total(spark: SparkSession, d: str) -> DataFrame:
+    return service.page_with_total(table(spark, d, "sources").select("id", "path"), ["id"], 20, 10)
+
+
+@query(f"WITH {_VERSIONS} SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY version DESC) <= 20")
+def snapshot_versions(spark: SparkSession, d: str) -> DataFrame:
+    return service.newest_versions(_versions(spark, d))
+
+
+@query("SELECT source_id AS project_id, count(*) AS files, coalesce(sum(length(content)), 0)::BIGINT AS characters, count(*) <= 10000 AND coalesce(sum(length(content)), 0) <= 104857600 AND count(*) FILTER (WHERE file_path IS NULL OR file_path = '' OR content IS NULL) = 0 AS accepted FROM chunks GROUP BY 1")
+def upload_check(spark: SparkSession, d: str) -> DataFrame:
+    return service.check_uploads(table(spark, d, "chunks").select(F.col("source_id").alias("project_id"), F.col("file_path").alias("path"), "content"))
+
+
+_DIGESTS = "h AS (SELECT DISTINCT source_id, id, ('0x' || substr(md5(id || ':' || content), 1, 12))::BIGINT AS h, start_line FROM chunks), a AS (SELECT source_id, sum(h) AS digest FROM h WHERE substr(source_id, 1, 1) <> 'b' GROUP BY 1), b AS (SELECT source_id, sum(h) AS digest FROM h WHERE substr(source_id, 1, 1) <> 'c' AND NOT (substr(source_id, 1, 1) < 'h' AND start_line > 40) GROUP BY 1)"
+
+
+@query(f"WITH {_DIGESTS} SELECT source_id, CASE WHEN b.digest IS NULL THEN 'upload' WHEN a.digest IS NULL THEN 'download' WHEN a.digest = b.digest THEN 'skip' ELSE 'upload' END AS action FROM a FULL JOIN b USING (source_id)")
+def sync_actions(spark: SparkSession, d: str) -> DataFrame:
+    """The whole-index sync of two states of the index: one lacks some sources, the other others and the later lines of some."""
+    chunks, first = table(spark, d, "chunks"), F.substring("source_id", 1, 1)
+    there = chunks.filter((first != "c") & ~((first < "h") & (F.coalesce("start_line", F.lit(0)) > 40)))
+    return service.to_sync(service.index_digest(chunks.filter(first != "b")), service.index_digest(there))
+
+
+@query("WITH c AS (SELECT DISTINCT id, source_id AS project_id, sha256(content) AS checksum, strlen(content) AS bytes FROM chunks) SELECT project_id, checksum, max(bytes)::BIGINT AS bytes, count(*) AS uses FROM c GROUP BY ALL")
+def project_manifest(spark: SparkSession, d: str) -> DataFrame:
+    return service.manifest(table(spark, d, "chunks")).withColumn("bytes", F.col("bytes").cast("long"))
+
+
+@query("WITH c AS (SELECT DISTINCT source_id AS project_id, sha256(content) AS checksum, md5(content) AS digest FROM chunks) SELECT project_id, 1 AS version, checksum, digest FROM c WHERE substr(project_id, 1, 1) >= 'h' AND substr(checksum, 1, 1) < '8' UNION ALL SELECT project_id, CASE WHEN EXISTS (SELECT 1 FROM c o WHERE o.project_id = c.project_id AND substr(o.checksum, 1, 1) < '8') THEN 2 ELSE 1 END, checksum, digest FROM c WHERE substr(project_id, 1, 1) < 'h'")
+def snapshot_download(spark: SparkSession, d: str) -> DataFrame:
+    """The latest version of each project after some of them were finalized once more."""
+    chunks = table(spark, d, "chunks").select(F.col("source_id").alias("project_id"), F.sha2("content", 256).alias("checksum"), "content")
+    old = chunks.filter(F.substring("checksum", 1, 1) < "8").select("project_id", F.lit(1).alias("version"), "checksum").distinct()
+    snapshots = service.finalize(old, chunks.filter(F.substring("project_id", 1, 1) < "h"))
+    return service.download(snapshots, chunks).select("project_id", "version", "checksum", F.md5("content").alias("digest"))
+
+
+def _stored(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks with what a hosted index stores of them: the unit's name as symbol, and the words before brackets as calls."""
+    rows = table(spark, d, "chunks").dropDuplicates(["id"])
+    names = F.when(F.col("unit_name").isNotNull(), F.array("unit_name")).otherwise(F.array().cast("array<string>"))
+    return rows.select("id", "file_path", "start_line", "content", F.lit(None).cast("string").alias("kind"), names.alias("symbols"), F.array_distinct(F.regexp_extract_all("content", F.lit(r"([a-z][A-Za-z0-9]+)\("), F.lit(1))).alias("calls"))
+
+
+_STORED = "s AS (SELECT id, any_value(file_path) AS file_path, any_value(start_line) AS start_line, any_value(content) AS content, any_value(unit_name) AS name FROM chunks GROUP BY id)"
+
+
+@query(f"WITH {_STORED} SELECT name, 'function' AS kind, file_path, start_line FROM s WHERE contains(lower(name), 'cache') ORDER BY name, file_path, start_line, id LIMIT 50")
+def stored_symbol_search(spark: SparkSession, d: str) -> DataFrame:
+    return service.stored_symbols(_stored(spark, d), "Cache", limit=500).select("name", "kind", "file_path", "start_line")
+
+
+@query(f"WITH {_STORED}, t AS (SELECT *, list_distinct(regexp_extract_all(content, '([a-z][A-Za-z0-9]+)\\(', 1)) AS calls FROM s), a AS (SELECT * FROM t WHERE list_contains(calls, 'split') ORDER BY file_path, start_line NULLS FIRST, id LIMIT 50), b AS (SELECT * FROM t WHERE name = 'split' ORDER BY file_path, start_line NULLS FIRST, id LIMIT 10) SELECT DISTINCT 'caller' AS side, coalesce(name, 'anonymous') AS name, file_path, coalesce(start_line, 0) AS line FROM a UNION SELECT DISTINCT 'callee', unnest(calls), file_path, 0 FROM b")
+def stored_call_graph(spark: SparkSession, d: str) -> DataFrame:
+    return service.stored_calls(_stored(spark, d), "split")
+
+
+@query("WITH e AS (SELECT org_id, epoch_us(date_trunc('hour', created_at)) AS hour_at, count(DISTINCT id) AS n FROM usage_events GROUP BY ALL), m AS (SELECT max(epoch_us(created_at)) AS now_at FROM usage_events) SELECT org_id, hour_at, n FROM e, m WHERE now_at - hour_at < 3024000 * 1000000::BIGINT")
+def counters_alive(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "usage_events")
+    hours = events.groupBy("org_id", F.date_trunc("hour", "created_at").alias("hour_at")).agg(F.count_distinct("id").alias("n"))
+    now = events.agg(F.max("created_at")).first()[0]
+    return service.alive(hours, "hour_at", F.lit(now), service.COUNTER_TTL).withColumn("hour_at", F.unix_micros("hour_at"))
+
+
+@query("SELECT id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', floor(n / 102.4 + 0.5) / 10) ELSE printf('%.1f MB', floor(n / 104857.6 + 0.5) / 10) END AS size, format('{:,}', n) AS number FROM (SELECT DISTINCT id, strlen(content) AS n FROM chunks)")
+def readable_sizes(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "chunks").select("id", F.octet_length("content").alias("n")).distinct()
+    return rows.select("id", T.readable_bytes(F.col("n")).alias("size"), T.readable_number(F.col("n")).alias("number"))
+
+
+@query("WITH h AS (SELECT DISTINCT * FROM query_history), m AS (SELECT max(id) AS last FROM h), r AS (SELECT query, created_at, row_number() OVER (ORDER BY created_at, query) AS n FROM (SELECT DISTINCT query, max(created_at) OVER (PARTITION BY query) AS created_at FROM h)) SELECT id, query, coalesce(sources, '') AS sources FROM h UNION ALL SELECT last + n, query, 'a,b' FROM r, m")
+def history_record(spark: SparkSession, d: str) -> DataFrame:
+    """The history after each of its queries was asked once more."""
+    history = table(spark, d, "query_history").distinct()
+    asked = history.groupBy("query").agg(F.max("created_at").alias("created_at"))
+    filled = asked.select("query", F.array(F.lit("a"), F.lit("b")).alias("sources"), "created_at", *(F.lit(None).cast(t).alias(c) for c, t in history.dtypes if c not in ("id", "query", "sources", "created_at")))
+    return store.record(history, filled).select("id", "query", F.coalesce("sources", F.lit("")).alias("sources"))
+
+
+@query("SELECT DISTINCT id FROM query_history WHERE created_at >= (SELECT min(created_at) + (max(created_at) - min(created_at)) / 2 FROM query_history)")
+def history_cleared(spark: SparkSession, d: str) -> DataFrame:
+    history = table(spark, d, "query_history")
+    t = history.agg(((F.unix_micros(F.min("created_at")) + F.unix_micros(F.max("created_at"))) / 2).cast("long").alias("t")).first().t
+    return store.clear(history, F.timestamp_micros(F.lit(t))).select("id").distinct()
+
+
+@query("WITH w AS (SELECT id, unnest(regexp_extract_all(lower(content), '[a-z0-9]+')) AS word FROM (SELECT DISTINCT id, content FROM chunks)), b AS (SELECT id, ('0x' || substr(md5(word), 1, 7))::BIGINT % 384 AS at, sum(CASE WHEN ('0x' || substr(md5(word), 8, 1))::INT < 8 THEN 1 ELSE -1 END) AS v FROM w GROUP BY ALL), n AS (SELECT id, sqrt(sum(v * v)) AS norm FROM b GROUP BY id) SELECT id, round(max(v / norm), 4) AS most, round(min(v / norm), 4) AS least, count(*) FILTER (WHERE v <> 0) AS filled FROM b JOIN n USING (id) WHERE norm > 0 GROUP BY id")
+def hash_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "chunks").select("id", "content").distinct().select("id", embedding.embed(F.col("content")).alias("v"))
+    filled = rows.withColumn("v", F.filter("v", lambda x: x != 0)).filter(F.size("v") > 0)
+    return filled.select("id", F.round(F.array_max("v").cast("double"), 4).alias("most"), F.round(F.array_min("v").cast("double"), 4).alias("least"), F.size("v").cast("long").alias("filled"))
+
+
+@query("SELECT id, coalesce(len(json_extract(config, '$.include')::JSON[]), -1) AS includes, coalesce(len(json_extract(config, '$.exclude')::JSON[]), -1) AS excludes, config IS NULL AS by_default FROM sources")
+def source_configs(spark: SparkSession, d: str) -> DataFrame:
+    kind = "include array<string>, exclude array<string>"
+    rows = table(spark, d, "sources").select("id", F.col("config").isNull().alias("by_default"), F.from_json("config", kind).alias("c"))
+    return rows.select("id", *(F.coalesce(F.size(f"c.{k}"), F.lit(-1)).cast("long").alias(f"{k}s") for k in ("include", "exclude")), "by_default")
