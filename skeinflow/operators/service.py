@@ -95,7 +95,7 @@ def has_symbol(symbols: Column, query: str, exact: bool = False) -> Column:
 def stored_symbols(chunks: DataFrame, query: str, exact: bool = False, kind: str | None = None, limit: int = SYMBOLS) -> DataFrame:
     """(name, kind, file_path, start_line, signature) of stored symbols (array column ``symbols``; ``kind`` null counts as function) that fit the query; at most ``MOST_SYMBOLS``.
 
-    A signature is the chunk's text up to five lines or the first closing bracket.
+    A signature is the line that first names the symbol, and where brackets stay open in it up to four more; without such a line the name.
     """
     kinds = F.coalesce("kind", F.lit("function"))
     rows = chunks.filter(has_symbol(F.col("symbols"), query, exact))
@@ -103,9 +103,13 @@ def stored_symbols(chunks: DataFrame, query: str, exact: bool = False, kind: str
         rows = rows.filter(kinds == kind)
     each = rows.select("id", "file_path", "start_line", "content", kinds.alias("kind"), F.explode("symbols").alias("name"))
     each = each.filter(F.col("name") == query if exact else F.contains(F.lower("name"), F.lit(query.lower())))
-    lines = F.slice(F.split("content", "\n", -1), 1, 5)
-    close = F.array_position(F.transform(lines, lambda x: F.contains(x, F.lit(")"))), F.lit(True))
-    said = F.trim(F.array_join(F.when(close > 0, F.slice(lines, F.lit(1), close.cast("int"))).otherwise(lines), "\n"))
+    lines = F.split("content", "\n", -1)
+    has = lambda x, what: F.contains(x, F.lit(what) if isinstance(what, str) else what)
+    at = F.array_position(F.transform(lines, lambda x: has(x, F.col("name"))), F.lit(True)).cast("int")
+    head, rest = F.try_element_at(lines, at), F.slice(lines, at + 1, F.lit(4))
+    close = F.array_position(F.transform(rest, lambda x: has(x, ")")), F.lit(True)).cast("int")
+    more = F.slice(rest, F.lit(1), F.when(close > 0, close).otherwise(F.lit(4)))
+    said = F.when(at == 0, F.col("name")).when(has(head, "(") & ~has(head, ")"), F.trim(F.array_join(F.concat(F.array(head), more), "\n"))).otherwise(F.trim(head))
     return each.select("name", "kind", "file_path", "start_line", said.alias("signature"), "id").orderBy("name", "file_path", "start_line", "id").limit(min(limit, MOST_SYMBOLS)).drop("id")
 
 
