@@ -11,6 +11,7 @@ from skeinflow.functions import text as T
 from skeinflow.functions.session import table
 from skeinflow.operators import budget as B
 from skeinflow.operators import chunking, formatting, graphs, ranking, service, similarity, store, symbols, usage
+from skeinflow.streaming import live
 
 FLAGSHIP = "select_context"
 QUERIES: dict = {}
@@ -286,6 +287,22 @@ def sliding_rate_limit(spark: SparkSession, d: str) -> DataFrame:
     return usage.sliding_limit(table(spark, d, "usage_events"), 3, seconds=3_600)
 
 
+def _stream(spark: SparkSession, d: str) -> DataFrame:
+    return spark.readStream.schema(table(spark, d, "usage_events").schema).parquet(f"{d}/usage_event[s].parquet")  # as a pattern it may be a file or a folder
+
+
+@query("WITH u AS (SELECT DISTINCT * FROM usage_events) SELECT org_id, strftime(created_at AT TIME ZONE 'UTC', '%Y-%m') AS month, count(*) FILTER (WHERE lower(event_type) = 'query') AS queries, coalesce(sum(tokens_used), 0)::BIGINT AS tokens FROM u GROUP BY ALL")
+def streamed_monthly_usage(spark: SparkSession, d: str) -> DataFrame:
+    """The counters as a stream gives them, the last of each."""
+    given = live.drained(live.monthly_counters(_stream(spark, d)))
+    return given.groupBy("org_id", "month").agg(F.max_by(F.struct("queries", "tokens"), "batch").alias("r")).select("org_id", "month", "r.queries", "r.tokens")
+
+
+@query(_sql_limit(3_600, 3))
+def streamed_rate_limit(spark: SparkSession, d: str) -> DataFrame:
+    return live.drained(live.rate_limited(_stream(spark, d), 3, 3_600)).select("id", "org_id", "requests", "allowed")
+
+
 @query("WITH u AS (SELECT DISTINCT * FROM usage_events), g AS (SELECT project_id, sum(tokens_used)::BIGINT AS used FROM u WHERE project_id IS NOT NULL GROUP BY 1), l AS (SELECT project_id, CASE WHEN substr(project_id, 1, 1) = 'a' THEN NULL ELSE 20000 END AS most FROM g WHERE substr(project_id, 1, 1) <> 'b') SELECT g.project_id, used, coalesce(most, -1)::BIGINT AS most, (most IS NULL OR used < most) AS within, CASE WHEN most IS NULL THEN -1 ELSE greatest(most - used, 0) END::BIGINT AS left_over FROM g LEFT JOIN l USING (project_id) WHERE used IS NOT NULL")
 def limit_check(spark: SparkSession, d: str) -> DataFrame:
     used = usage.distinct_events(table(spark, d, "usage_events")).filter("project_id is not null").groupBy("project_id").agg(F.sum("tokens_used").alias("used")).filter("used is not null")

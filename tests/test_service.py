@@ -4,9 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skeinflow.functions import embedding
+from skeinflow.functions import embedding, tokens
 from skeinflow.functions import text as T
-from skeinflow.operators import graphs, service, similarity, store, usage
+from skeinflow.operators import chunking, graphs, service, similarity, store, usage
 
 IMPORTS = [
     ("import { a, b as c } from './x';", [(1, "./x", "named", ["a", "b"], None, False)]),
@@ -114,3 +114,18 @@ def test_many_queries_in_batches(spark, monkeypatch):
 def test_readable(spark):
     rows = spark.createDataFrame([(512,), (1280,), (5 * 1024**2,), (1024**3,)], "n long").select(T.readable_bytes(F.col("n")).alias("b"), T.readable_number(F.col("n")).alias("d")).collect()
     assert [tuple(r) for r in rows] == [("512 B", "512"), ("1.3 KB", "1,280"), ("5.0 MB", "5,242,880"), ("1.0 GB", "1,073,741,824")]
+
+
+def test_tokens_of_a_public_tokenizer(spark):
+    import base64
+
+    tiktoken = pytest.importorskip("tiktoken")
+    pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open("/opt/tokenizers/byte_bpe_50k.tiktoken", "rb"))}
+    other = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    texts = ["", "def area(shape):\n    return shape.width", "naïve 解析器 <|endoftext|>", "x" * 5000]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string")
+    got = [r.n for r in rows.select("i", tokens.token_length(F.col("t")).alias("n")).orderBy("i").collect()]
+    assert got == [*(len(other.encode_ordinary(t)) for t in texts), None] and tokens.Counter()(texts[1]) == got[1]
+    lines = chunking.by_lines(texts[1].split("\n"), 8, 0, count=tokens.Counter())
+    assert [x[2] for x in lines] == texts[1].split("\n")

@@ -44,7 +44,7 @@ def test_rate_limit_and_counters(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     out = _drain(live.rate_limited(stream, 2), spark, "limited", "append")
     assert {r.id: (r.requests, r.allowed) for r in out} == {"a": (1, True), "b": (2, True), "c": (3, False), "d": (2, True), "e": (1, True)}
-    out = _drain(live.monthly_counters(stream), spark, "monthly", "update")
+    out = _drain(live.monthly_counters(stream), spark, "monthly", "append")
     assert {(r.org_id, r.month, r.queries, r.tokens) for r in out} == {("o", "2023-11", 4, 20), ("p", "2023-11", 1, 5)}
     assert live.bursts(stream).isStreaming and live.windowed_usage(stream).isStreaming
 
