@@ -23,7 +23,7 @@ class Selection:
 
     def text(self, query: str, format: str = "markdown", explain: bool = False, mode: str = "full") -> str:
         """The selection as text; its rows are bounded by the budget."""
-        rows = [r.asDict() for r in self.chunks.orderBy("file_path", "start_line").collect()]
+        rows = [r.asDict() for r in self.chunks.orderBy(F.collate(F.col("file_path"), "UNICODE"), "file_path", "start_line").collect()]
         return formatting.render(rows, query, self.stats["chunksConsidered"], format, explain, mode)
 
 

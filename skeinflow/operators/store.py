@@ -159,15 +159,32 @@ def import_index(documents: DataFrame, schemas: dict[str, str]) -> dict[str, Dat
 
 
 def publish(tables: dict[str, DataFrame], root: str, partition: dict[str, list[str]] | None = None) -> int:
-    """Write the tables as the next version under ``root`` and move the pointer to it; readers see the old version until then."""
+    """Write the tables as the next version under ``root`` and move the pointer to it; readers see the old version until then.
+
+    A version is taken by a file that can be made only once, so two writers never share one; one that fails leaves a gap.
+    """
     spark = next(iter(tables.values())).sparkSession
-    version = current_version(spark, root) + 1
+    version = _take_version(spark, root, current_version(spark, root) + 1)
     for name, df in tables.items():
         df.write.mode("overwrite").partitionBy(*(partition or {}).get(name, [])).parquet(f"{root}/v{version}/{name}")
     spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").parquet(f"{root}/pointer")
     return version
 
 
+def _take_version(spark: SparkSession, root: str, version: int) -> int:
+    """The first version from ``version`` on that nobody has taken."""
+    while True:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/taken/v{version}")
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        try:
+            files.create(path, False).close()
+            return version
+        except Exception:
+            if not files.exists(path):
+                raise
+            version += 1
+
+
 def current_version(spark: SparkSession, root: str) -> int:
     """The version that readers see; 0 if nothing was published."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/pointer")
