@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skeinflow.functions.session import table
-from skeinflow.operators import similarity
 from skeinflow.llm import bisection, credentials, encoding, mixing, neighbours, packing, provenance, subjects
+from skeinflow.operators import similarity
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -76,6 +76,20 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return bisection.split_oversized(table(spark, d, "chunks"), table(spark, d, "chunk_options"))
 
 
+@query
+def p3_rejoined(spark: SparkSession, d: str) -> DataFrame:
+    """Of each oversized chunk the digest of its pieces joined without the overlaps, and whether they all fit and follow one another."""
+    options = table(spark, d, "chunk_options")
+    pieces = bisection.split_oversized(table(spark, d, "chunks"), options)
+    own = pieces.withColumn("own", F.substring(F.col("content"), F.col("overlap") + 1, F.length("content"))).join(F.broadcast(options.select("source_id", F.col("chunk_size").alias("most"))), "source_id", "left")  # a row a source at most
+    by = own.groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("piece", "own"))).alias("all"), F.every(F.col("tokens") <= F.coalesce("most", F.lit(500))).alias("fits"), F.max("pieces").alias("n"))  # one chunk's own text
+    joined = F.array_join(F.transform("all", lambda x: x["own"]), "")
+    return by.select("chunk_id", F.md5(joined).alias("digest"), (F.col("fits") & (F.size("all") == F.col("n"))).alias("fits"))
+
+
+ORACLE["p3_rejoined"] = """
+SELECT c.id AS chunk_id, md5(any_value(c.content)) AS digest, true AS fits FROM chunks c LEFT JOIN chunk_options o ON o.source_id = c.source_id
+WHERE ceil(length(c.content) / 4.0) > coalesce(o.max_unit_tokens, 2 * coalesce(o.chunk_size, 500)) GROUP BY c.id"""
 ORACLE["p3_found"] = """
 SELECT DISTINCT c.id AS chunk_id FROM chunks c LEFT JOIN chunk_options o ON o.source_id = c.source_id
 WHERE ceil(length(c.content) / 4.0) > coalesce(o.max_unit_tokens, 2 * coalesce(o.chunk_size, 500))"""
@@ -86,6 +100,16 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode_texts(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
 
+@query
+def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """The digest of each text after it was encoded and decoded again."""
+    ids = encoding.encode_texts(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
+    return encoding.decode_ids(ids).select("doc_id", F.md5("text").alias("digest"))
+
+
+ORACLE["p6_decoded"] = "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents"
+
+
 @query
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_shares(spark, d).filter(~F.col("reachable")).select("mix_id", "source")
@@ -96,6 +120,21 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.report(mixing.sized(table(spark, d, "documents")), table(spark, d, "mix_targets"))
 
 
+@query
+def p7_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Of each target whether the selection keeps to it: no document above its repeats, and the tokens nearer to what is wanted (or to all there is) than half the source's longest document."""
+    sizes = mixing.sized(table(spark, d, "documents"))
+    chosen = mixing.report(sizes, table(spark, d, "mix_targets"))
+    longest = sizes.groupBy(F.col("source").alias("of")).agg(F.max("tokens").alias("longest"), F.sum("tokens").alias("all"))
+    caps = table(spark, d, "mix_targets").select(F.col("mix_id").alias("m"), F.col("source").alias("s"), "max_repeats")
+    rows = chosen.join(longest, F.col("source").eqNullSafe(F.col("of")), "left").join(caps, F.col("mix_id").eqNullSafe(F.col("m")) & F.col("source").eqNullSafe(F.col("s")))
+    wanted = F.least("target_tokens", F.coalesce("all", F.lit(0)) * F.col("max_repeats"))
+    return rows.select("mix_id", "source", ((F.abs(F.col("selected_tokens") - wanted) <= F.coalesce("longest", F.lit(0)) / 2 + 0.001) & (F.col("most_repeats") <= F.col("max_repeats"))).alias("kept"))
+
+
+ORACLE["p7_targets"] = "SELECT mix_id, source, true AS kept FROM mix_targets"
+
+
 @query
 def p7_selection(spark: SparkSession, d: str) -> DataFrame:
     return mixing.select_mix(mixing.sized(table(spark, d, "documents")), table(spark, d, "mix_targets")).select("mix_id", "source", "doc_id", "tokens", "repeats")
