@@ -129,3 +129,10 @@ def test_tokens_of_a_public_tokenizer(spark):
     assert got == [*(len(other.encode_ordinary(t)) for t in texts), None] and tokens.Counter()(texts[1]) == got[1]
     lines = chunking.by_lines(texts[1].split("\n"), 8, 0, count=tokens.Counter())
     assert [x[2] for x in lines] == texts[1].split("\n")
+
+
+def test_two_writers_take_two_versions(spark, tmp_path):
+    root = str(tmp_path)
+    assert [store._take_version(spark, root, 1) for _ in range(3)] == [1, 2, 3]
+    rows = spark.createDataFrame([(1,)], "x int")
+    assert store.publish({"t": rows}, root) == 4 and store.current_version(spark, root) == 4
