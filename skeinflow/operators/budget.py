@@ -11,16 +11,16 @@ def greedy(ranked: DataFrame, budget: int, keys: list[str], order: list[Column],
 
     The running total depends on what was skipped, so it is a fold over the group's rows, which are the bounded candidates of a query.
     """
-    n = F.row_number().over((Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(*order)).alias("n")
-    numbered = ranked.select("*", n)
+    n = F.row_number().over((Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(*order))
+    rows = ranked.select(*keys, F.struct(n.alias("n"), F.col(tokens).cast("long").alias("t"), F.struct(*(F.col(c) for c in ranked.columns)).alias("r")).alias("x"))
+    groups = rows.groupBy(*keys).agg(F.array_sort(F.collect_list("x"), lambda a, b: a["n"] - b["n"]).alias("all"))
     fold = F.aggregate(
         "all",
         F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<int>").alias("kept")),
         lambda s, x: F.when(s["total"] + x["t"] <= budget, F.struct((s["total"] + x["t"]).alias("total"), F.concat(s["kept"], F.array(x["n"])).alias("kept"))).otherwise(s),
     )
-    groups = numbered.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("n"), F.col(tokens).cast("long").alias("t")))).alias("all"))
-    kept = groups.select(*keys, F.explode(fold["kept"]).alias("n"))
-    return numbered.join(kept, [*keys, "n"], "left_semi").drop("n")
+    kept = groups.select("all", fold["kept"].alias("kept")).select(F.explode(F.filter("all", lambda x: F.array_contains("kept", x["n"]))).alias("x"))
+    return kept.select("x.r.*")
 
 
 def prefix(ranked: DataFrame, budget: int, keys: list[str], order: list[Column], tokens: str = "tokens") -> DataFrame:
