@@ -44,16 +44,19 @@ def definitions_in(content: str, path: str) -> list[tuple[str, str, int, int, st
     return sorted(out, key=lambda o: o[2])
 
 
-def definitions(chunks: DataFrame) -> DataFrame:
-    """What each distinct chunk defines, with lines of the file (a chunk without a start begins at line 1)."""
+def definitions(chunks: DataFrame, narrow: bool = False, within_chunk: bool = False) -> DataFrame:
+    """What each distinct chunk defines, with lines of the file (a chunk without a start begins at line 1), or of the chunk itself (``within_chunk``).
+
+    ``narrow`` leaves out the types of Go and the structures and traits of Rust, as the search of the tool server does.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            rows = [
-                (s, f, i, name, kind, int(n) + a - 1, int(n) + z - 1, said[:200])
-                for s, f, i, c, n in zip(p.source_id, p.file_path, p.id, p.content, p.start_line)
-                for name, kind, a, z, said in definitions_in(c, f)
-            ]
+            rows = []
+            for s, f, i, c, n in zip(p.source_id, p.file_path, p.id, p.content, p.start_line):
+                first = 0 if within_chunk else int(n) - 1
+                types = narrow and f.lower().endswith((".go", ".rs"))
+                rows += [(s, f, i, name, kind, first + a, first + z, said[:200]) for name, kind, a, z, said in definitions_in(c, f) if not (types and kind == "class")]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in DEFINITIONS.split(", ")])
 
     return _code(chunks).mapInPandas(run, DEFINITIONS).dropDuplicates(["chunk_id", "name", "start_line"])
@@ -111,14 +114,21 @@ def calls(chunks: DataFrame) -> DataFrame:
     return _parsed(chunks).filter("call").drop("call", "kind").dropDuplicates(["chunk_id", "caller", "callee", "line"])
 
 
-def call_edges(chunks: DataFrame) -> DataFrame:
+def last_chunks(chunks: DataFrame) -> DataFrame:
+    """Of each file the chunk that begins last, the greatest id of several."""
+    last = chunks.groupBy("source_id", "file_path").agg(F.max(F.struct(F.coalesce("start_line", F.lit(1)).alias("n"), "id")).alias("x")).select(F.col("x.id").alias("last"))
+    return chunks.join(last, F.col("id") == F.col("last"), "left_semi")
+
+
+def call_edges(chunks: DataFrame, methods: bool = True) -> DataFrame:
     """(source_id, caller_file, caller, callee, first_line, line, context, callee_file): each caller and callee of a file once, with the first line and the last call's line and text.
 
     The callee's file is the first that defines it, or "(external)". Both sides add up map-side, so a name that is everywhere isn't one task.
+    The graph of the tool server comes from ``last_chunks`` and counts no ``methods`` as definitions.
     """
     parsed = _parsed(chunks)
     first = (
-        parsed.filter(~F.col("call") & F.col("kind").isin("function", "method", "constant"))
+        parsed.filter(~F.col("call") & F.col("kind").isin("function", "constant", *(["method"] if methods else [])))
         .groupBy(F.col("source_id").alias("s"), F.col("caller").alias("callee_name"))
         .agg(F.min_by("file_path", F.struct("file_path", "line")).alias("callee_file"))
     )

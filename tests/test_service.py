@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skeinflow.functions import embedding, tokens
 from skeinflow.functions import text as T
-from skeinflow.operators import chunking, graphs, service, similarity, store, usage
+from skeinflow.operators import budget, chunking, graphs, service, similarity, store, symbols, usage
 
 IMPORTS = [
     ("import { a, b as c } from './x';", [(1, "./x", "named", ["a", "b"], None, False)]),
@@ -136,3 +136,31 @@ def test_two_writers_take_two_versions(spark, tmp_path):
     assert [store._take_version(spark, root, 1) for _ in range(3)] == [1, 2, 3]
     rows = spark.createDataFrame([(1,)], "x int")
     assert store.publish({"t": rows}, root) == 4 and store.current_version(spark, root) == 4
+
+
+def test_variants_of_symbols_and_calls(spark):
+    go = "type Shape struct {\n}\nfunc Area(s Shape) int {\n  return side(s)\n}\n"
+    js = "class Box {\n  open() {\n    return load(1);\n  }\n}\nfunction start() {\n  return open();\n}\n"
+    rows = [("1", "s", "a.go", go, 11), ("2", "s", "b.js", js, 1), ("3", "s", "b.js", "function later() {\n  return start();\n}\n", 9), ("3", "s", "b.js", "function later() {\n  return start();\n}\n", 9)]
+    chunks = spark.createDataFrame(rows, "id string, source_id string, file_path string, content string, start_line int")
+    found = {(r.name, r.start_line) for r in symbols.definitions(chunks.filter("id = '1'")).collect()}
+    assert found == {("Shape", 11), ("Area", 13)}
+    assert {(r.name, r.start_line) for r in symbols.definitions(chunks.filter("id = '1'"), narrow=True, within_chunk=True).collect()} == {("Area", 3)}
+    edges = {(r.caller, r.callee, r.callee_file) for r in symbols.call_edges(chunks).collect()}
+    assert {("start", "open", "b.js"), ("later", "start", "b.js"), ("Area", "side", "(external)")} <= edges
+    assert ("start", "open", "(external)") in {(r.caller, r.callee, r.callee_file) for r in symbols.call_edges(chunks, methods=False).collect()}
+    assert {(r.caller, r.callee, r.callee_file) for r in symbols.call_edges(symbols.last_chunks(chunks)).filter("caller_file = 'b.js'").collect()} == {("later", "start", "(external)")}
+    assert symbols.call_edges(chunks.limit(0)).collect() == [] and symbols.definitions(chunks.limit(0)).collect() == []
+
+
+def test_calls_keep_the_first_line_and_the_last_text(spark):
+    text = "function go() {\n  load(1);\n  stop();\n  load(2);\n}\n"
+    chunks = spark.createDataFrame([("1", "s", "a.js", text, 5)], "id string, source_id string, file_path string, content string, start_line int")
+    (row,) = symbols.call_edges(chunks).filter("callee = 'load'").collect()
+    assert (row.first_line, row.line, row.context) == (6, 8, "load(2);")
+
+
+def test_greedy_keeps_rows_of_any_type(spark):
+    rows = spark.createDataFrame([("a", 100, {"x": 1}), ("b", 150, None), ("c", 50, {}), ("d", None, None)], "id string, tokens int, m map<string,int>")
+    assert [r.id for r in budget.greedy(rows, 200, [], [F.col("id")]).orderBy("id").collect()] == ["a", "c"]
+    assert budget.greedy(rows.limit(0), 200, [], [F.col("id")]).columns == rows.columns
