@@ -48,7 +48,7 @@ _LOGIN_AS = regex.compile(
 )
 #: A call or a tuple that takes an account and, last, its password; ``open`` and its like take a host first.
 _ACCOUNT_CALL = regex.compile(
-    r"(?P<fn>\b[\w.:>]*?(?:log_?in|log_?on|sign_?in|auth|authenticate|basic_?auth|credentials?|unlock|bind|connect|open|dial|attach))\s*(?:=\s*)?\(\s*[\[(]?\s*(?:\w+\s*=\s*)?"
+    r"(?P<fn>(?:log_?in|log_?on|sign_?in|auth|authenticate|basic_?auth|credentials?|unlock|bind|connect|open|dial|attach))\s*(?:=\s*)?\(\s*[\[(]?\s*(?:\w+\s*=\s*)?"
     r"(?P<args>(?:[bruf]?(?:\"[^\"\n]*\"|'[^'\n]*'|`[^`\n]*`)\s*,\s*(?:\w+\s*=\s*)?)+)(?=[bruf]?[\"'`])",
     regex.I,
 )
@@ -57,10 +57,10 @@ _HOST = regex.compile(r"(?:[\w-]+\.)+[A-Za-z][\w-]*(?::\d+)?|localhost(?::\d+)?|
 #: Programs that take a password as a short option.
 _SHELL = (
     regex.compile(r"\bsshpass\s+(?:-\w\s+)*?-p\s*(?P<value>\"[^\"\n]+\"|'[^'\n]+'|[^\s\"']+)"),
-    regex.compile(r"\b(?:mysql|mysqldump|mysqladmin|mysqlimport|mariadb|mariadb-dump)\b[^|;&\n]*?\s-p(?P<value>\"[^\"\n]+\"|'[^'\n]+'|[^\s\"']+)"),
-    regex.compile(r"\b(?:redis-cli|valkey-cli)\b[^|;&\n]*?\s-a\s+(?P<value>\"[^\"\n]+\"|'[^'\n]+'|[^\s\"']+)"),
-    regex.compile(r"\b(?:docker|podman|helm registry|az acr) login\b[^|;&\n]*?\s-p\s+(?P<value>\"[^\"\n]+\"|'[^'\n]+'|[^\s\"']+)"),
-    regex.compile(r"\b(?:plink|pscp|psftp)\b[^|;&\n]*?\s-pw\s+(?P<value>\"[^\"\n]+\"|'[^'\n]+'|[^\s\"']+)"),
+    regex.compile(r"\b(?:mysql|mysqldump|mysqladmin|mysqlimport|mariadb|mariadb-dump)\b(?:(?!\bmysql|\bmariadb)[^|;&\n])*?\s-p(?P<value>\"[^\"\n]+\"|'[^'\n]+'|[^\s\"']+)"),
+    regex.compile(r"\b(?:redis-cli|valkey-cli)\b(?:(?!\bredis-cli|\bvalkey-cli)[^|;&\n])*?\s-a\s+(?P<value>\"[^\"\n]+\"|'[^'\n]+'|[^\s\"']+)"),
+    regex.compile(r"\b(?:docker|podman|helm registry|az acr) login\b(?:(?! login\b)[^|;&\n])*?\s-p\s+(?P<value>\"[^\"\n]+\"|'[^'\n]+'|[^\s\"']+)"),
+    regex.compile(r"\b(?:plink|pscp|psftp)\b(?:(?!\bplink|\bpscp|\bpsftp)[^|;&\n])*?\s-pw\s+(?P<value>\"[^\"\n]+\"|'[^'\n]+'|[^\s\"']+)"),
     regex.compile(r"\s-(?:pass(?:in|out)?|k|passwd)\s+pass:(?P<value>[^\s\"']+)"),
 )
 #: A comment whose only content is a literal that is to go away.
@@ -79,7 +79,7 @@ _OPTION = regex.compile(rf"(?<![\w-])--?(?:[\w-]*-)?(?:password|passwd|pwd|token
 _ENV = regex.compile(rf"^\s*(?:ENV|ARG)\s+\w*?{_NAME}\s+(?P<value>\S+)\s*$", regex.I)
 _USERPASS = regex.compile(r"(?:^|\s)(?:-u|--user|--proxy-user)[= ]\s*[\"']?[^\s:\"']+:(?P<value>[^\s\"'@]+)")
 _URL = regex.compile(r"[a-z][a-z0-9+.\-]{1,20}://(?P<user>[^\s:/@'\"`<>{}]*):(?P<value>[^\s/'\"`<>]+)@(?=[\w\[$.{-])", regex.I)
-_HOOK = regex.compile(r"https?://(?:hooks?|webhooks?)\.[^\s/'\"`<>]+/(?P<value>[^\s'\"`<>)?#]{16,})|https?://[^\s'\"`<>]+/(?:webhooks?|hooks|services)/(?P<value2>[^\s'\"`<>)?#]{16,})", regex.I)
+_HOOK = regex.compile(r"https?://(?:hooks?|webhooks?)\.[^\s/'\"`<>]+/(?P<value>[^\s'\"`<>)?#]{16,})|https?://(?:(?!https?://)[^\s'\"`<>])+/(?:webhooks?|hooks|services)/(?P<value2>[^\s'\"`<>)?#]{16,})", regex.I)
 _CONNECTION = regex.compile(r"(?:^|[;\"'`\s])(?:Pwd|Password|AccountKey|SharedAccessKey|SharedSecret\w*|AccessKey|Secret)\s*=\s*(?P<value>[^;\"'`\s]+)(?=;|[\"'`]|$)", regex.I)
 _QUERY = regex.compile(r"[?&](?:[\w\-]*(?:api[_\-]?key|access[_\-]?token|token|secret|password|passwd|pwd|signature|sig|auth|apikey|access[_\-]?key))=(?P<value>[^&\s'\"`<>#]+)", regex.I)
 _HEADER = regex.compile(r"(?P<scheme>\b(?:Bearer|Basic|Token|ApiKey|Api-Key|Digest|Negotiate))\s+(?P<value>[A-Za-z0-9+/=._~\-]{6,})")
@@ -437,8 +437,8 @@ class _Line:
         e = self.text.find("\n", at)
         return len(self.text) if e < 0 else e
 
-    def value(self, at: int, name: str) -> tuple[str, list[tuple[int, int]], bool, bool] | None:
-        """(value, spans, quoted, decoded) after an operator that ends at ``at`` of the line."""
+    def value(self, at: int, name: str, stop: int | None = None) -> tuple[str, list[tuple[int, int]], bool, bool] | None:
+        """(value, spans, quoted, decoded) after an operator that ends at ``at`` of the line; a value without quotes ends at ``stop`` at the latest."""
         s, here = self.line, at
         decoded = False
         for _ in range(4):
@@ -458,7 +458,7 @@ class _Line:
             got = self.literal(self.start + here)
             return (*got, True, decoded) if got else None
         if here == at and (self.config or self.prose or self.comment):
-            m = regex.compile(r"[^\s\"'`]+").match(s, at)
+            m = regex.compile(r"[^\s\"'`]+").match(s, at, len(s) if stop is None else stop)
             if m:
                 v = m.group()
                 end = m.end()
@@ -617,9 +617,11 @@ def find(text: str | None, path: str | None = None, seen: dict[str, bool] | None
                 if free(base + v.start(), base + v.end()) and _is_secret(v.group(), False, strict=True):
                     add([(base + v.start(), base + v.end())], "header")
         for rule in (_ASSIGN, _CALL):
-            at, known = 0, (0, 0)
-            while m := rule.search(s, at):
-                at = max(m.end(), m.start() + 1)
+            known, after = (0, 0), rule.search(s)
+            while m := after:
+                after = rule.search(s, max(m.end(), m.start() + 1))
+                # of values without quotes in a row, each ends where the next name begins
+                stop = after.start("name") if after and s[after.start("name") - 1] in ";,&|?=" else None
                 op = m.group("op").lower()
                 first = m.start("name")
                 while first > known[1] and (s[first - 1].isalnum() or s[first - 1] in "_.$-"):
@@ -634,7 +636,7 @@ def find(text: str | None, path: str | None = None, seen: dict[str, bool] | None
                     continue
                 if rule is _CALL and op == "," and not m.group("after"):
                     continue
-                got = ln.value(m.end(), name)
+                got = ln.value(m.end(), name, stop)
                 if not got:
                     if rule is _ASSIGN and op == ":" and config and regex.match(r"[|>][+-]?\s*$", s[m.end() :]):
                         nxt = regex.compile(r"\s*(\S+)").match(text, ln.end)

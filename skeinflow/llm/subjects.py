@@ -514,7 +514,7 @@ def label_documents(docs: DataFrame, subjects: DataFrame, labels: DataFrame, rou
     decided = spark.createDataFrame(counted[["subject", *columns, "probability"]])
     decided = decided.select(*(F.col(c).cast("int").alias(c) for c in ("subject", *columns)), "probability")
     name = F.element_at(F.array(*(F.lit(n) for n in names)), F.col("subject") + 1)
-    return found.join(small(decided, math.prod(LEVELS)), ["subject", *columns]).groupBy("doc_id", name.alias("subject")).agg(F.round(F.max("probability"), 6).alias("probability"), F.round(F.max("share"), 6).alias("share"))
+    return found.join(small(decided, k * math.prod(LEVELS)), ["subject", *columns]).groupBy("doc_id", name.alias("subject")).agg(F.round(F.max("probability"), 6).alias("probability"), F.round(F.max("share"), 6).alias("share"))
 
 
 def subject_areas(labelled_docs: DataFrame) -> DataFrame:

@@ -240,3 +240,18 @@ def test_literals_of_any_length(size, quoted):
 def test_names_of_any_length():
     text = "x_" * 200_000 + "password = 'Tunnel77lamp'; " + "my_password_" * 20_000 + "x = 1"
     assert len(S.find(text, "a.js")) == 1
+
+
+@pytest.mark.parametrize("part", ["a.", "open(", "login('a',", "mysql ", "docker login ", "password=", "http://a:", "http://a/", "log in as ", "TODO ", "| pin ", "<a ", 'key="', "%41", "QUJD"])
+@pytest.mark.parametrize("path", ["a.md", "a.py"])
+def test_long_lines_take_time_in_proportion(part, path):
+    """Twenty times the line takes at most about forty times as long, whatever a rule begins on again and again."""
+    import time
+
+    def took(n):
+        began = time.perf_counter()
+        S.find(part * n, path)
+        return time.perf_counter() - began
+
+    took(100)
+    assert took(20_000) < 40 * took(1_000) + 1.0
