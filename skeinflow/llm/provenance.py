@@ -440,7 +440,7 @@ def _with(rows: DataFrame, model: Model) -> DataFrame:
         **{f"r{i}": float(x) for i, x in enumerate(model.folders)},
         **{f"{name}{x}{y}": float(v) for name, edges in (("f", model.edges), ("t", model.tree)) for (x, y), v in np.ndenumerate(np.exp(edges))},
     }
-    one = rows.sparkSession.createDataFrame([tuple(numbers.values())], ", ".join(f"{k} double" for k in numbers))
+    one = rows.sparkSession.sql(f"SELECT * FROM VALUES ({', '.join(f'{v!r}D' for v in numbers.values())}) AS t({', '.join(numbers)})")  # a local row: no job of its own
     return rows.crossJoin(F.broadcast(one))  # one row
 
 
