@@ -57,9 +57,11 @@ def check_uploads(files: DataFrame) -> DataFrame:
 
 
 def index_digest(chunks: DataFrame, by: str = "source_id") -> DataFrame:
-    """(source_id, chunks, digest): a mark of each source's whole index that doesn't depend on the order of rows; sums of hashes add up map-side, so no source is one task."""
+    """(source_id, chunks, digest): a mark of each source's whole index that doesn't depend on the order of rows; sums of hashes add up map-side, so no source is one task.
+
+    Hashes have 48 bits, so the sum of a large source leaves 64 bits; it is a decimal."""
     fine = chunks.select(by, "id", F.conv(F.substring(F.md5(F.concat_ws(":", "id", "content")), 1, 12), 16, 10).cast("long").alias("h")).distinct()
-    return fine.groupBy(by).agg(F.count(F.lit(1)).alias("chunks"), F.sum("h").alias("digest"))
+    return fine.groupBy(by).agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.col("h").cast("decimal(28,0)")).alias("digest"))
 
 
 def to_sync(local: DataFrame, remote: DataFrame, by: str = "source_id") -> DataFrame:

@@ -51,6 +51,15 @@ def test_lookups(spark):
     assert service.in_scope(projects, org_id="o", slug="two").count() == 2
 
 
+def test_digest_of_a_large_source(spark):
+    """The sum of 48-bit hashes of more than 65,536 chunks doesn't fit 64 bits."""
+    chunks = spark.range(80_000).select(F.lit("s").alias("source_id"), F.col("id").cast("string").alias("id"), F.lit("x").alias("content"))
+    whole, less = service.index_digest(chunks), service.index_digest(chunks.filter("id <> '7'"))
+    row = whole.first()
+    assert row.chunks == 80_000 and row.digest > 2**63
+    assert [[r.action for r in service.to_sync(whole, other).collect()] for other in (whole, less)] == [["skip"], ["upload"]]
+
+
 def test_uploads_and_copies(spark):
     files = spark.createDataFrame([("a", "x.py", "1"), ("a", "y.py", ""), ("b", "", "1"), ("c", "x", None)], "project_id string, path string, content string")
     assert {r.project_id: r.accepted for r in service.check_uploads(files).collect()} == {"a": True, "b": False, "c": False}
