@@ -1,14 +1,17 @@
 """Problem 2: for every chunk the k others of highest cosine similarity, by a block matrix join.
 
-Vectors are brought to unit norm, rows with the same vector (to six decimals) are put together as one class, and the classes are dealt into blocks of a fixed
-size. Each block is one task, which meets all blocks one after the other: int8 product tiles (exact integers, multiplied in float32, where sums stay below
+Vectors are brought to unit norm, rows with the same vector (to six decimals) are put together as one class, and the classes are dealt into blocks of at most a fixed
+size, each within one cell around a centre. Each block is one task, which meets all blocks one after the other: int8 product tiles (exact integers, multiplied in float32, where sums stay below
 2^24) give each similarity up to a bound known from the rows' own quantisation errors. A pair survives if its upper bound reaches the row's threshold,
 which is the greater of ``least`` and the k-th best lower bound met so far; survivors are computed anew in float and kept in bounded heaps. As a task holds
 the heaps of its rows over all blocks, k pairs a class leave it, however many blocks there are. Classes are expanded to ids at the end, of
 which never more than k + 1 are needed.
 
-No pair of blocks is left out, so recall is 1 up to rounding; work grows with the square of the number of distinct vectors, in tiles that run
-at the speed of a matrix product. ``least`` only lets a caller ask for no neighbours below it.
+No pair is left out that may count, so recall is 1 up to rounding. Vectors of similarity ``least`` are at most sqrt(2 - 2 ``least``) apart, and so are their
+projections on any direction: of blocks in different cells, both sorted along the line between the centres, only the rows within that reach of each other are
+multiplied, first in the few dimensions of most variance, where the product with that of the norms of the rest is an upper bound. Where ``least`` is 0.5 or
+lower nothing of this is done, and in any case work grows with the square of the number of distinct vectors, in tiles that run at the speed of a matrix
+product. ``least`` only lets a caller ask for no neighbours below it.
 
 Cases: null, zero and non-finite vectors and those of another length take no part; a null id takes no part; ids delivered twice count once (of differing vectors one is
 taken); ties among copies go to the smaller id; classes of any number of copies yield k neighbours a row; empty tables give no rows; extra columns are ignored.
@@ -31,7 +34,14 @@ from skeinflow.functions.session import cut, kept, small, written
 
 K, DIM = 10, 64
 #: Rows of a block, and of a tile within a pair of blocks; the same at every size.
-BLOCK_ROWS, TILE_ROWS, TILE_COLUMNS = 8_192, 512, 2_048
+BLOCK_ROWS, TILE_ROWS, TILE_COLUMNS = 16_384, 512, 2_048
+#: Cells and the rows a cell below which there are fewer, the most cells, and the rows from which centres and dimensions are learned. These decide where
+#: a row is kept and how soon a pair is ruled out, never whether it is found.
+CELLS, CELL_ROWS, MOST_CELLS, LEARNED = 64, 2_048, 1_024, 65_536
+#: Dimensions of the first product, rows of its tiles, and the share of a tile's pairs above which all dimensions are multiplied at once.
+SIEVE, SIEVE_ROWS, MANY = 20, 256, 0.01
+#: A bound of the error of a product of two unit vectors in float32, and of a projection.
+ROUNDING = np.float32(2e-5)
 
 
 def keyed(rows: DataFrame, dim: int = DIM) -> DataFrame:
@@ -143,6 +153,61 @@ def join_blocks(heaps: Heaps, a: np.ndarray, b: np.ndarray | None, k: int, first
                 heaps.push(rr, cc + first, np.einsum("ij,ij->i", a[rr], b[cc], dtype=np.float64))
 
 
+def _sieved(x: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """The rows of x in the dimensions ``axes`` (orthonormal columns), and the norm of what is left of each: products of these are upper bounds of the rows' products."""
+    low = x @ axes
+    return np.column_stack([low, np.sqrt(np.maximum(0, 1 - np.einsum("ij,ij->i", low, low)) + ROUNDING)])
+
+
+def join_apart(heaps: Heaps, a: np.ndarray, b: np.ndarray, k: int, first: int, least: float, direction: np.ndarray, axes: np.ndarray) -> int:
+    """As ``join_blocks``, for pairs of at least ``least`` only, with a lying ahead of b in ``direction`` (a unit vector, or zero); the number of products made.
+
+    A row of b whose projection is further behind than the reach of ``least`` can't be a neighbour.
+    """
+    reach = float(np.sqrt(max(0.0, 2 - 2 * least) + ROUNDING)) + float(ROUNDING)
+    ta, tb = a @ direction, b @ direction
+    i, j = np.flatnonzero(ta <= tb.max() + reach), np.flatnonzero(tb >= ta.min() - reach)
+    i, j = i[np.argsort(ta[i])], j[np.argsort(-tb[j])]
+    if not len(i) or not len(j):
+        return 0
+    far = b[j]
+    low, high = _sieved(a[i], axes), np.ascontiguousarray(_sieved(far, axes).T)
+    ends = np.searchsorted(-tb[j], reach - ta[i[::SIEVE_ROWS]], "right")  # for the row of a tile that is furthest back
+    for x, end in zip(range(0, len(i), SIEVE_ROWS), ends, strict=True):
+        rows = i[x : x + SIEVE_ROWS]
+        for y in range(0, end, TILE_COLUMNS):
+            stop, need = min(y + TILE_COLUMNS, end), heaps.least[rows] - ROUNDING
+            bounds = low[x : x + SIEVE_ROWS] @ high[:, y:stop]
+            hot = np.flatnonzero(bounds.max(axis=1) >= need)
+            if not len(hot):
+                continue
+            r, c = np.nonzero(bounds[hot] >= need[hot][:, None])
+            if len(r) > MANY * bounds.size:
+                r, c = _survivors(a[rows[hot]] @ far[y:stop].T, need[hot], np.full(len(hot), ROUNDING), k)
+            r, c = rows[hot[r]], j[c + y]
+            for s in range(0, len(r), 1 << 17):
+                rr, cc = r[s : s + (1 << 17)], c[s : s + (1 << 17)]
+                heaps.push(rr, cc + first, np.einsum("ij,ij->i", a[rr], b[cc], dtype=np.float64))
+    return int(np.minimum(SIEVE_ROWS, len(i) - np.arange(0, len(i), SIEVE_ROWS)) @ ends)
+
+
+def _cells(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Of each row of x the number of the centre next to it."""
+    return np.concatenate([np.zeros(0, np.int32), *[(x[s : s + 4096] @ centres.T).argmax(axis=1).astype(np.int32) for s in range(0, len(x), 4096)]])
+
+
+def learn_centres(x: np.ndarray, cells: int) -> np.ndarray:
+    """At most ``cells`` unit vectors, in float32, around which the rows of x lie."""
+    c = x[:cells]
+    for _ in range(10):
+        cell = _cells(x, c)
+        sums = np.zeros(c.shape)
+        np.add.at(sums, cell, x)
+        sums = sums[(sums != 0).any(axis=1)]
+        c = _unit(sums).astype(np.float32) if len(sums) else c
+    return c
+
+
 def _emit(heaps: Heaps, first: int, k: int) -> pa.RecordBatch:
     top = np.argsort(-heaps.value, axis=1, kind="stable")[:, :k]
     v, o = np.take_along_axis(heaps.value, top, 1), np.take_along_axis(heaps.other, top, 1)
@@ -160,12 +225,27 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
 def block_join(distinct: DataFrame, rows: int, k: int = K, least: float = -2.0, dim: int = DIM, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
     """((key, place) of each vector, (a, b, similarity) of the k best places for each place).
 
-    ``rows`` bounds the number of vectors. A place is block * 2^32 + position. Blocks are written once to the shared folder, where the tasks read
-    them, so the vectors aren't shuffled once for every pair.
+    ``rows`` is about the number of vectors; ``distinct`` is read three times. A place is block * 2^32 + position. Blocks are written once to the shared
+    folder, where the tasks read them, so the vectors aren't shuffled once for every pair.
     """
     spark = distinct.sparkSession
-    n = max(1, -(-rows // block_rows))
-    blocked = distinct.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(n)).cast("int"))
+    learned = distinct.filter(F.pmod(F.xxhash64("key"), F.lit(max(1, rows // LEARNED))) == 0).select("key", "vector").toArrow().sort_by("key").slice(0, 2 * LEARNED)
+    x = np.frombuffer(b"".join(learned.column("vector").to_pylist()), np.float32).reshape(-1, dim)
+    centres = learn_centres(x, min(MOST_CELLS, max(-(-rows // block_rows), min(CELLS, -(-rows // CELL_ROWS))))) if len(x) else np.eye(1, dim, dtype=np.float32)
+    axes = np.linalg.eigh(x.T.astype(np.float64) @ x)[1][:, ::-1][:, :SIEVE].astype(np.float32)
+
+    def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            v = np.frombuffer(b"".join(t.column("vector").to_pylist()), np.float32).reshape(-1, dim)
+            yield pa.RecordBatch.from_arrays([t.column("key"), t.column("vector"), pa.array(_cells(v, centres))], names=["key", "vector", "cell"])
+
+    cells = distinct.select("key", "vector").mapInArrow(located, "key binary, vector binary, cell int")
+    counts = {r.cell: r["count"] for r in cells.groupBy("cell").count().collect()}
+    parts = [-(-counts.get(c, 0) // block_rows) for c in range(len(centres))]
+    cell_of = np.repeat(np.arange(len(centres)), parts)  # of each block
+    n = len(cell_of)
+    lots = spark.createDataFrame([(c, sum(parts[:c]), parts[c]) for c in range(len(centres)) if parts[c]], "cell int, before int, parts int")
+    blocked = cells.join(F.broadcast(lots), "cell").select("key", "vector", (F.col("before") + F.pmod(F.xxhash64("key"), F.col("parts"))).cast("int").alias("block"))  # a row a cell
 
     def pack(table: pa.Table) -> pa.Table:
         return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "keys": pa.array([table.column("key").to_pylist()], pa.list_(pa.binary())), "data": pa.array([b"".join(table.column("vector").to_pylist())], pa.binary())})
@@ -189,12 +269,17 @@ def block_join(distinct: DataFrame, rows: int, k: int = K, least: float = -2.0,
                     continue
                 heaps = Heaps(len(a), k, least)
                 join_blocks(heaps, a, None, k, p << 32)
-                for q in [*range(p + 1, n), *range(p)]:  # tasks begin at different blocks
-                    if (b := block(q)) is not None:
+                for q in [*range(p + 1, n), *range(p)]:  # the rest of the own cell first, and tasks begin at different blocks
+                    if (b := block(q)) is None:
+                        continue
+                    apart = centres[cell_of[p]] - centres[cell_of[q]]
+                    if least > 0.5:
+                        join_apart(heaps, a, b, k, q << 32, least, apart / max(np.linalg.norm(apart), np.float32(1e-6)), axes)
+                    else:
                         join_blocks(heaps, a, b, k, q << 32)
                 yield _emit(heaps, p << 32, k)
 
-    return places, spark.range(0, n, 1, n).mapInArrow(tiles, "a long, b long, similarity double")
+    return places, spark.range(0, n, 1, max(1, n)).mapInArrow(tiles, "a long, b long, similarity double")
 
 
 def nearest(rows: DataFrame, k: int = K, least: float = -2.0, dim: int = DIM, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -203,8 +288,8 @@ def nearest(rows: DataFrame, k: int = K, least: float = -2.0, dim: int = DIM, bl
     ids = cut(vectors.groupBy("id").agg(F.min("key").alias("key"), F.max("key").alias("last")))
     members, differing = ids.select("id", "key"), ids.filter("key <> last").select("id", F.col("key").alias("kept"))
     vectors = vectors.join(small(differing), "id", "left").filter(F.col("kept").isNull() | (F.col("kept") == F.col("key")))
-    distinct = vectors.groupBy("key").agg(F.min("vector").alias("vector"))  # copies go map-side
-    places, top = block_join(distinct, members.count(), k, least, dim, block_rows)
+    distinct = kept(vectors.groupBy("key").agg(F.min("vector").alias("vector")), "none")  # copies go map-side
+    places, top = block_join(distinct, distinct.count(), k, least, dim, block_rows)  # copies make no blocks
     top = kept(top, "none")  # evaluated once, and joined by its true size
     # in each class the k + 1 least ids are enough, for any member and from any other class
     first = Window.partitionBy("key").orderBy("id")
